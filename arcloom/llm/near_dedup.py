@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "pairs",
     )
     wanted = estimated.select(F.col("a").alias("doc_id")).union(estimated.select("b")).distinct()
-    sets = written(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    # the texts meet their ids in a shuffle at every size: the ids grow with the corpus, so they are never broadcast
+    sets = written(base.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
     proven = spark.createDataFrame([], "a long, b long")
     open_, labels = estimated, None
     for turn in range(3):  # the best pair between two groups, again, then all that is left
