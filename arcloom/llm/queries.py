@@ -17,9 +17,43 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import rotations
+
+    out = rotations(_table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat(m[0].cast("string"), F.lit("-"), m[1].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), k=10)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import schedule
+
+    return schedule(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, exact_topk, mixing
+
+    return {
+        "op3_chat_rotation": chat.SQL,
+        "op4_exact_topk": exact_topk.SQL,
+        "op6_mixing": mixing.sql(),
+    }
