@@ -51,6 +51,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode, with_bytes
 
@@ -62,10 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, exact_topk, mixing
+    from . import chat, exact_topk, fingerprints, mixing
 
     return {
         "op3_chat_rotation": chat.SQL,
         "op4_exact_topk": exact_topk.SQL,
         "op6_mixing": mixing.sql(),
+        "op8_fingerprints": fingerprints.sql(),
     }
