@@ -24,18 +24,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, buffers, chunks, hidden, mix, powers, words
-from .labelled import labelled_sample
+from .labelled import fitted
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 SEGMENT = 4
+#: Distinct words whose n-grams are hashed at once.
+SLICE = 20_000
 #: A row of the table is trained if so many of the labelled documents have it.
 MIN_DOCS = 8
 #: Cost of one false alarm, by the share of clean documents, against one miss.
@@ -43,7 +46,7 @@ WRONG = 20
 #: Share by which the embeddings shrink in an epoch.
 DECAY = 0.01
 #: Labelled documents of each class that the model is fitted on, at most.
-PER_CLASS = 2000
+PER_CLASS = 1500
 
 
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     whole = np.add.reduceat(v * powers(0x100000001B3, int(length.max()) + 2)[inner], at[:-1]) if len(length) else np.zeros(0, U64)
     rows.append(mix(whole ^ U64(0x5851F42D4C957F2D)) % U64(BUCKETS))
     owner.append(np.arange(len(length)))
-    r, o = np.concatenate(rows).astype(np.int64), np.concatenate(owner)
+    r, o = np.concatenate(rows).astype(np.int32), np.concatenate(owner)
     order = np.argsort(o, kind="stable")
     return r[order], np.searchsorted(o[order], np.arange(len(length) + 1))
 
@@ -92,10 +95,11 @@ class Bag:
 
 
 def bag(data: np.ndarray, w: Words) -> Bag:
-    base = np.zeros(len(w.hash), np.int64)
     _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-    # offsets in w count from the document: words() is given the batch as one document here
-    rows, first = subwords(data, (w.start + base)[index], (w.end + base)[index])
+    # slices keep the arrays over single bytes small
+    parts = [subwords(data, w.start[index[a : a + SLICE]], w.end[index[a : a + SLICE]]) for a in range(0, len(index), SLICE)]
+    rows = np.concatenate([r for r, _ in parts]) if parts else np.zeros(0, np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))]) if parts else np.zeros(1, np.int64)
     count = np.diff(w.first)
     inner = np.arange(len(w.hash)) - np.repeat(w.first[:-1], count)
     half = np.flatnonzero(inner % (SEGMENT // 2) == 0)
@@ -164,15 +168,16 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0, warm: int = 10, epochs:
     rng = np.random.default_rng(seed)
     n_docs, n_words, n_half = len(texts), len(b.first) - 1, len(b.half)
     size = np.diff(b.first).astype(float)
-    owner = np.repeat(np.arange(n_words), np.diff(b.first))
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(b.first))
     ph, pw, times = b.pairs()
     half_n = np.bincount(ph, size[pw] * times, n_half)
-    # documents by row of the table
-    dw = np.unique(b.doc[ph].astype(np.int64) * n_words + pw)
-    dd, dword = dw // n_words, dw % n_words
-    reps = np.diff(b.first)[dword]
-    at = np.repeat(b.first[:-1][dword] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-    df = np.bincount(np.unique(b.rows[at] * n_docs + np.repeat(dd, reps)) // n_docs, minlength=BUCKETS)
+    df = np.zeros(BUCKETS, np.int64)  # documents by row of the table
+    of_doc = np.searchsorted(b.doc[ph], np.arange(n_docs + 1))
+    for d in range(n_docs):
+        mine = np.unique(pw[of_doc[d] : of_doc[d + 1]])
+        count = b.first[mine + 1] - b.first[mine]
+        at = np.repeat(b.first[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        df[np.unique(b.rows[at])] += 1
     keep = df[b.rows] >= min(MIN_DOCS, max(1, n_docs // 8))
     used, rows = np.unique(b.rows[keep], return_inverse=True)
     owner = owner[keep]
@@ -253,14 +258,22 @@ def _threshold(model: Model, b: Bag, y: np.ndarray, held: np.ndarray, n: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    sample = labelled_sample(docs, labels, "toxic", per_class)
-    return fit(sample["text"].tolist(), sample["y"].to_numpy())
+    """The model of a bounded, balanced sample, fitted in one task; the driver gets the weights only."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        model = fit(rows["text"].tolist(), rows["y"].to_numpy())
+        if model is None:
+            return pd.DataFrame({"weight": [], "bias": [], "threshold": []})
+        return pd.DataFrame({"weight": [model.weight.astype(np.float32).tobytes()], "bias": [model.bias], "threshold": [model.threshold]})
+
+    got = fitted(docs, labels, "toxic", per_class, run, "weight binary, bias double, threshold double")
+    return got and Model(np.frombuffer(got["weight"], np.float32), got["bias"], got["threshold"])
 
 
 def _scored(docs: DataFrame, model: Model | None, columns: list[str], score: str) -> DataFrame:
     if model is None:
         return docs.select(*columns, F.lit(None).cast("double").alias(score))
-    box = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
+    box = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
     source = docs.select(*columns, F.col("text"))
     schema = docs.select(*columns, F.lit(0.0).alias(score)).schema
 
@@ -290,7 +303,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     if model is None:
         return docs
     (name,) = hidden(docs, "toxicity")
-    box = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.threshold))
+    box = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.threshold))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
