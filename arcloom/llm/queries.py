@@ -39,6 +39,12 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import schedule
 
@@ -74,11 +80,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, exact_topk, fingerprints, mixing
+    from . import chat, exact_topk, fingerprints, mixing, substring_dedup
 
     return {
         "op3_chat_rotation": chat.SQL,
         "op4_exact_topk": exact_topk.SQL,
+        "op5_substring_dedup": substring_dedup.sql(),
         "op6_mixing": mixing.sql(),
         "op8_fingerprints": fingerprints.sql(),
     }
