@@ -146,7 +146,7 @@ class Model:
         if len(w.hash):
             logit, doc = self.segments(bag(data, w))
             np.maximum.at(out, doc, logit)
-        return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
+        return np.where(np.isinf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 0, warm: int = 10, epochs: int = 40, rate: float = 0.5) -> Model | None:
@@ -275,7 +275,7 @@ def _scored(docs: DataFrame, model: Model | None, columns: list[str], score: str
         return docs.select(*columns, F.lit(None).cast("double").alias(score))
     box = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
     source = docs.select(*columns, F.col("text"))
-    schema = docs.select(*columns, F.lit(0.0).alias(score)).schema
+    schema = docs.select(*columns, F.lit(None).cast("double").alias(score)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = box.value
