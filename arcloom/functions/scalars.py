@@ -38,7 +38,7 @@ def date_part(c: Column, kind: T.DataType, part: str) -> Column:
 
 def sentences(c: Column) -> Column:
     """Parts of a text after each of . ! ?, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def canonical_text(entity_type: Column, props: Column) -> Column:

@@ -389,7 +389,7 @@ def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("jw", F.round(scalars.jaro_winkler("a", "b"), 6))
 
 
-@query("sentence_split", r"""SELECT doc_id AS id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS n
+@query("sentence_split", r"""SELECT doc_id AS id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS n
  FROM documents WHERE text IS NOT NULL""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")

@@ -1 +1 @@
-"""Property-graph analytics on Spark DataFrames."""
+"""Graph documents as a stream: each micro-batch is one idempotent ingest."""
