@@ -38,7 +38,7 @@ M_BITS = 7
 M = 1 << M_BITS
 MANTISSA = 10
 SHINGLE = 3
-ROWS = 4
+ROWS = 3
 THRESHOLD = 0.55
 
 
@@ -85,7 +85,7 @@ def densified(reg: np.ndarray) -> np.ndarray:
 def band_keys(reg: np.ndarray) -> np.ndarray:
     """One 64-bit key per document and band of ROWS registers."""
     bands = M // ROWS
-    x = densified(reg).astype(U64).reshape(len(reg), bands, ROWS)
+    x = densified(reg)[:, : bands * ROWS].astype(U64).reshape(len(reg), bands, ROWS)
     key = x[:, :, 0].copy()
     for j in range(1, ROWS):
         key = (key << U64(16)) | x[:, :, j] if ROWS <= 4 else mix(key) + x[:, :, j]
