@@ -43,6 +43,18 @@ class IngestSummary:
     merges: dict = field(default_factory=dict)
 
 
+def doomed(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(nid, why) of a source, its chunks, and the entities that no other source mentions."""
+    sources = nodes.where((F.col("type") == SOURCE) & (F.col("props")["name"] == json.dumps(name, ensure_ascii=False))).select("nid")
+    traced = edges.where(F.col("rel").isin(*PROVENANCE)).select("rel", "src", "dst")
+    mine = F.col("s").isNotNull()
+    by_node = traced.join(sources.select(F.col("nid").alias("s")), traced["dst"] == F.col("s"), "left").groupBy("src").agg(
+        F.max(mine.cast("int")).alias("any"), F.min(mine.cast("int")).alias("all")
+    )
+    hit = by_node.join(nodes.select("nid", "type"), by_node["src"] == F.col("nid")).where((F.col("any") == 1) & ((F.col("all") == 1) | (F.col("type") == CHUNK)))
+    return sources.select("nid", F.lit("source").alias("why")).union(hit.select("nid", F.when(F.col("type") == CHUNK, "chunk").otherwise("entity")))
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str, prefix_label: str | None = None):
         self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix_label
@@ -111,6 +123,7 @@ class GraphStore:
         return IngestSummary(n, m, n - counts[0], m - counts[1], int((time.time() - began) * 1000), report)
 
     def merge_nodes(self, old: DataFrame, entities: DataFrame) -> DataFrame:
+        """old nodes with entities over them: one row per (type, key field, key), ids of old rows kept."""
         order = Window.partitionBy("type", "key_field", "key").orderBy("idx")
         labels = F.array_distinct(
             F.concat(
@@ -135,6 +148,7 @@ class GraphStore:
         )
 
     def merge_edges(self, old: DataFrame, nodes: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+        """old edges with relations over them: one row per (rel, src, dst); relations without both ends stored are left out."""
         ends = entities.join(nodes.select("nid", "type", "key_field", "key"), ["type", "key_field", "key"]).select("local_id", "nid")
         found = (
             relations.join(ends.toDF("from_id", "src"), "from_id").join(ends.toDF("to_id", "dst"), "to_id").select("idx", "rel", "src", "dst", "props")
@@ -152,19 +166,8 @@ class GraphStore:
 
     # --- deletion ------------------------------------------------------------
 
-    def source_ids(self, name: str) -> DataFrame:
-        return self.nodes().where((F.col("type") == SOURCE) & (F.col("props")["name"] == json.dumps(name, ensure_ascii=False))).select("nid")
-
     def doomed(self, name: str) -> DataFrame:
-        """(nid, why) of a source, its chunks, and the entities that no other source mentions."""
-        sources = self.source_ids(name)
-        edges = self.edges().where(F.col("rel").isin(*PROVENANCE)).select("rel", "src", "dst")
-        mine = F.col("s").isNotNull()
-        by_node = edges.join(sources.select(F.col("nid").alias("s")), edges["dst"] == F.col("s"), "left").groupBy("src").agg(
-            F.max(mine.cast("int")).alias("any"), F.min(mine.cast("int")).alias("all")
-        )
-        hit = by_node.join(self.nodes().select("nid", "type"), by_node["src"] == F.col("nid")).where((F.col("any") == 1) & ((F.col("all") == 1) | (F.col("type") == CHUNK)))
-        return sources.select("nid", F.lit("source").alias("why")).union(hit.select("nid", F.when(F.col("type") == CHUNK, "chunk").otherwise("entity")))
+        return doomed(self.nodes(), self.edges(), name)
 
     def delete_by_source(self, name: str, vectors: DataFrame | None = None) -> tuple[dict[str, int], DataFrame | None]:
         """Removes what only this source brought, with all edges at it; counts by reason, and the vectors that are left."""

@@ -27,9 +27,9 @@ PREFETCH = 4
 _SPLIT = r"[^\p{L}\p{N}]+"
 #: Frequent Russian words, which say nothing in a search.
 STOPWORDS = tuple(
-    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее её мне было вот от меня еще ещё нет о из ему теперь "
-    "когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней "
-    "для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой".split()
+    ("а без будет будто бы был была было быть в вам вас вдруг ведь во вот все вы где да даже для до его ее ей ему если есть еще ещё её ж же за и "
+     "из или их к как какой когда кто ли меня мне может мы на надо не него ней нет ни нибудь ничего но ну о он она они опять от по под потом "
+     "потому раз с сам себе себя со так там тебя теперь то тогда того тоже только тут ты у уж уже чего чем что чтоб этого этот я").split()
 )
 
 
@@ -122,8 +122,11 @@ def query_terms(text: str, stopwords: Sequence[str] = STOPWORDS) -> dict[str, in
     return Counter(t for t in regex.split(_SPLIT, text.lower()) if t and t not in set(stopwords))
 
 
-def _times(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+def _times(lowered: Column, term: str) -> Column:
+    """How often a term is a token: between characters that are no letters or digits."""
+    import regex
+
+    return F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(term)}(?![\p{{L}}\p{{N}}])"))
 
 
 def bm25(docs: DataFrame, query: str, k: int, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
@@ -137,9 +140,7 @@ def bm25(docs: DataFrame, query: str, k: int, stopwords: Sequence[str] = STOPWOR
     if not terms:
         return docs.sparkSession.createDataFrame([], docs.select("nid", F.lit(0.0).alias("score")).schema)
     tf = {t: f"__tf{i}" for i, t in enumerate(terms)}
-    counted = docs.select("nid", tokens(F.col("text"), stopwords).alias("__t")).select(
-        "nid", *[_times(F.col("__t"), t).alias(c) for t, c in tf.items()]
-    )
+    counted = docs.select("nid", *[_times(F.lower("text"), t).alias(c) for t, c in tf.items()])
     stats = counted.agg(F.count("*").alias("n"), *[F.coalesce(F.sum((F.col(c) > 0).cast("long")), F.lit(0)).alias(c) for c in tf.values()]).first()
     idf = {t: math.log(1 + (stats["n"] - stats[c] + 0.5) / (stats[c] + 0.5)) for t, c in tf.items()}
     score = sum((F.col(c) * F.lit(terms[t] * idf[t]) for t, c in tf.items()), F.lit(0.0))

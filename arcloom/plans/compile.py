@@ -364,6 +364,19 @@ class Compiler:
             raise FieldTypeError(f"{h.type_id} has no operator {op!r}")
         return h.predicate(c, kind, op, f.value)
 
+    def condition(self, tree: Any) -> Column:
+        """A tree of filters, with three-valued logic."""
+        if isinstance(tree, Filter):
+            if tree.field.partition(".")[0] not in self.bound:
+                raise LoweringError(f"unknown alias {tree.field.partition('.')[0]!r}")
+            return self.predicate(tree)
+        if isinstance(tree, dsl.Not):
+            return ~self.condition(tree.part)
+        parts = [self.condition(p) for p in tree.parts]
+        if isinstance(tree, dsl.AllOf):
+            return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+        return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+
     def inferred(self, field: str) -> str | None:
         """Handler that the ontology gives to a field, unless the filter names one."""
         alias, _, prop = field.partition(".")
@@ -412,6 +425,8 @@ class Compiler:
             self._pin(pins, h.target.alias)
         for f in late:
             self.df = self.df.where(self.predicate(f))
+        if q.where is not None:
+            self.df = self.df.where(self.condition(q.where))
         return self._project()
 
     def _keep_outer(self, before: DataFrame, h: Hop, own: list[Filter]) -> None:

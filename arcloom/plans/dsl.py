@@ -57,6 +57,23 @@ class Filter:
     cardinality: str | None = None
 
 
+@dataclass(frozen=True)
+class AllOf:
+    """Filters joined by AND; for programs, as documents have no nesting."""
+
+    parts: tuple[Any, ...]
+
+
+@dataclass(frozen=True)
+class AnyOf:
+    parts: tuple[Any, ...]
+
+
+@dataclass(frozen=True)
+class Not:
+    part: Any
+
+
 @dataclass(frozen=True)
 class Return:
     field: str
@@ -90,6 +107,8 @@ class Query:
     distinct: bool = False
     prefix_label: str | None = None
     prefix_index: str | None = None
+    #: A tree of AllOf, AnyOf, Not and plain Filters beside `filters`; set by programs only.
+    where: Any = None
 
     def node_aliases(self) -> dict[str, str]:
         return {self.start.alias: self.start.label} | {h.target.alias: h.target.label for h in self.traversals}

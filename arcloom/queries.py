@@ -47,10 +47,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_store  # noqa: F401 - registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_store  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -9,7 +9,7 @@ nor from that end to the edge.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -21,25 +21,33 @@ PROVENANCE = ("mention", "part_of")
 SOURCE, CHUNK = "Source", "Chunk"
 
 
-@dataclass(frozen=True)
+#: A DataFrame, or how to get one: a query then opens only the tables it uses.
+Frame = DataFrame | Callable[[], DataFrame]
+
+
+@dataclass(frozen=True, eq=False)
 class NodeTable:
     label: str
-    df: DataFrame
+    frame: Frame
     key: str
     #: Column of array<string> with the labels of each node, if they vary.
     labels: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.frame() if callable(self.frame) else self.frame
+
     @cached_property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c != self.labels]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class EdgeTable:
     rel: str
     source_label: str
     target_label: str
-    df: DataFrame
+    frame: Frame
     source: str
     target: str
     #: Identifies an edge among those of its table.
@@ -49,6 +57,10 @@ class EdgeTable:
     #: Properties of the edge; None: all columns, but none if it is embedded.
     props: tuple[str, ...] | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.frame() if callable(self.frame) else self.frame
+
     @property
     def properties(self) -> list[str]:
         if self.props is not None:
@@ -67,11 +79,11 @@ class GraphCatalog:
     nodes: dict[str, NodeTable] = field(default_factory=dict)
     edges: list[EdgeTable] = field(default_factory=list)
 
-    def add_node(self, label: str, df: DataFrame, key: str, labels: str | None = None) -> GraphCatalog:
+    def add_node(self, label: str, df: Frame, key: str, labels: str | None = None) -> GraphCatalog:
         self.nodes[label] = NodeTable(label, df, key, labels)
         return self
 
-    def add_edge(self, rel: str, source_label: str, target_label: str, df: DataFrame, source: str, target: str, **kw) -> GraphCatalog:
+    def add_edge(self, rel: str, source_label: str, target_label: str, df: Frame, source: str, target: str, **kw) -> GraphCatalog:
         self.edges.append(EdgeTable(rel, source_label, target_label, df, source, target, **kw))
         return self
 

@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import GraphCatalog
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
-    """Nodes and edges over the Parquet tables of a folder; nothing is read but footers."""
+    """Nodes and edges over the Parquet tables of a folder; a table is opened when a query needs it."""
 
-    def t(name: str):
+    @cache
+    def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    region, nation, customer, supplier = t("region"), t("nation"), t("customer"), t("supplier")
-    part, orders, lineitem, events = t("part"), t("orders"), t("lineitem"), t("events")
-    documents, embeddings, pages = t("documents"), t("embeddings"), t("pages")
-    benchmark, labels, conversations = t("benchmark"), t("labels"), t("conversations")
-    turn_id = lambda turn: F.col("conv_id") * 1000 + turn
-    turns = conversations.withColumn("turn_id", turn_id(F.col("turn")))
+    def turn_id(turn: Column) -> Column:
+        return F.col("conv_id") * 1000 + turn
+
+    def turns() -> DataFrame:
+        return t("conversations").withColumn("turn_id", turn_id(F.col("turn")))
+
+    def follows() -> DataFrame:
+        rows = t("conversations").where(F.col("turn") > 0)
+        return rows.select(turn_id(F.col("turn") - 1).alias("from_id"), turn_id(F.col("turn")).alias("to_id"), F.col("turn").alias("at"))
+
     g = GraphCatalog(spark)
-    g.add_node("Region", region, "r_regionkey").add_node("Nation", nation, "n_nationkey").add_node("Customer", customer, "c_custkey")
-    g.add_node("Supplier", supplier, "s_suppkey").add_node("Part", part, "p_partkey").add_node("Order", orders, "o_orderkey")
-    g.add_node("Event", events, "event_id").add_node("Chunk", documents, "doc_id").add_node("Page", pages, "page_id")
-    g.add_node("BenchmarkItem", benchmark, "item_id").add_node("Vec", embeddings, "vec_id").add_node("Label", labels, "doc_id")
+    for label, name, key in (
+        ("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"),
+        ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Event", "events", "event_id"), ("Chunk", "documents", "doc_id"),
+        ("Page", "pages", "page_id"), ("BenchmarkItem", "benchmark", "item_id"), ("Vec", "embeddings", "vec_id"), ("Label", "labels", "doc_id"),
+    ):
+        g.add_node(label, lambda name=name: t(name), key)
     g.add_node("Turn", turns, "turn_id")
-    g.add_node("Source", documents.where("source is not null").select(F.col("source").alias("name")).distinct(), "name")
-    g.add_edge("IN_REGION", "Nation", "Region", nation, "n_nationkey", "n_regionkey", key="n_nationkey", embedded="source")
-    g.add_edge("FROM_NATION", "Customer", "Nation", customer, "c_custkey", "c_nationkey", key="c_custkey", embedded="source")
-    g.add_edge("FROM_NATION", "Supplier", "Nation", supplier, "s_suppkey", "s_nationkey", key="s_suppkey", embedded="source")
-    g.add_edge("PLACED", "Customer", "Order", orders, "o_custkey", "o_orderkey", key="o_orderkey", embedded="target")
+    g.add_node("Source", lambda: t("documents").where("source is not null").select(F.col("source").alias("name")).distinct(), "name")
+    g.add_edge("IN_REGION", "Nation", "Region", lambda: t("nation"), "n_nationkey", "n_regionkey", key="n_nationkey", embedded="source")
+    g.add_edge("FROM_NATION", "Customer", "Nation", lambda: t("customer"), "c_custkey", "c_nationkey", key="c_custkey", embedded="source")
+    g.add_edge("FROM_NATION", "Supplier", "Nation", lambda: t("supplier"), "s_suppkey", "s_nationkey", key="s_suppkey", embedded="source")
+    g.add_edge("PLACED", "Customer", "Order", lambda: t("orders"), "o_custkey", "o_orderkey", key="o_orderkey", embedded="target")
     lines = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    g.add_edge("CONTAINS", "Order", "Part", lineitem, "l_orderkey", "l_partkey", props=lines)
-    g.add_edge("SHIPPED_BY", "Order", "Supplier", lineitem, "l_orderkey", "l_suppkey", props=lines)
-    g.add_edge("SUPPLIES", "Supplier", "Part", lineitem.select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
-    g.add_edge("BY_USER", "Event", "Customer", events, "event_id", "user_id", key="event_id", embedded="source")
-    g.add_edge("part_of", "Chunk", "Source", documents.select("doc_id", "source", "text", "lang", "n_chars"), "doc_id", "source", key="doc_id", embedded="source")
-    follows = turns.select((turn_id(F.col("turn") - 1)).alias("from_id"), F.col("turn_id").alias("to_id"), F.col("turn").alias("at")).where(F.col("turn") > 0)
+    g.add_edge("CONTAINS", "Order", "Part", lambda: t("lineitem"), "l_orderkey", "l_partkey", props=lines)
+    g.add_edge("SHIPPED_BY", "Order", "Supplier", lambda: t("lineitem"), "l_orderkey", "l_suppkey", props=lines)
+    g.add_edge("SUPPLIES", "Supplier", "Part", lambda: t("lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
+    g.add_edge("BY_USER", "Event", "Customer", lambda: t("events"), "event_id", "user_id", key="event_id", embedded="source")
+    g.add_edge("part_of", "Chunk", "Source", lambda: t("documents"), "doc_id", "source", key="doc_id", embedded="source")
     g.add_edge("NEXT_TURN", "Turn", "Turn", follows, "from_id", "to_id", key="to_id")
     return g
