@@ -101,8 +101,10 @@ doc("aggregate_orders", FLAGSHIP, f"""SELECT c_custkey AS customer, c_name AS na
 # scans and projections
 doc("scan_label", q(n("Nation", "n"), returns=[ret("n.n_nationkey", "id"), ret("n.n_name", "name")]), "SELECT n_nationkey AS id, n_name AS name FROM nation")
 doc("scan_unknown_property_is_null", q(n("Region", "r"), returns=[ret("r.r_name", "name"), ret("r.nothing", "nothing")]), "SELECT r_name AS name, CAST(NULL AS VARCHAR) AS nothing FROM region")
-doc("scan_any_label", q(n("", "x"), filters=[flt("x.label", "in", ["Region", "Nation", "Supplier"])], returns=[ret("x.label", "label"), ret("x", "n", "count")], group_by=["x.label"]),
-    "SELECT * FROM (SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Supplier', count(*) FROM supplier)")
+_LABELS = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "Event": "events", "Chunk": "documents", "Page": "pages",
+           "BenchmarkItem": "benchmark", "Vec": "embeddings", "Label": "labels", "Turn": "conversations"}
+doc("scan_any_label", q(n("", "x"), returns=[ret("x.label", "label"), ret("x", "n", "count")], group_by=["x.label"]),
+    " UNION ALL ".join(f"SELECT '{x}' AS label, count(*) AS n FROM {t}" for x, t in _LABELS.items()) + " UNION ALL SELECT 'Source', count(DISTINCT source) FROM documents")
 doc("project_date_part", q(n("Order", "o"), returns=[ret("o.o_orderkey", "id"), ret("o.o_orderdate", "y", part="year"), ret("o.o_orderdate", "q", part="quarter"), ret("o.o_orderdate", "m", part="month"), ret("o.o_orderdate", "d", part="day"), ret("o.o_orderdate", "h", part="hour")]),
     "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h FROM orders")
 doc("distinct_values", q(CUST, returns=[ret("c.c_mktsegment", "segment")], distinct=True), "SELECT DISTINCT c_mktsegment AS segment FROM customer")
@@ -159,8 +161,8 @@ doc("hop_sibling_edges_may_repeat", q(n("Nation", "n"), [hop("FROM_NATION", "Sup
     "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier a ON a.s_nationkey = n_nationkey JOIN supplier b ON b.s_nationkey = n_nationkey GROUP BY 1")
 doc("trail_uniqueness", q(n("Supplier", "a"), [hop("FROM_NATION", "Nation", "n"), hop("FROM_NATION", "Supplier", "b", "n", "in")], returns=[ret("a.s_name", "a"), ret("b.s_name", "b")]),
     "SELECT a.s_name AS a, b.s_name AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
-doc("hop_edge_union", q(n("Order", "o"), [hop("CONTAINS|SHIPPED_BY", "", "x")], [flt("o.o_orderkey", "lte", 200)], [ret("x.label", "label"), ret("x", "n", "count")], group_by=["x.label"]),
-    "SELECT 'Part' AS label, count(*) AS n FROM lineitem WHERE l_orderkey <= 200 UNION ALL SELECT 'Supplier', count(*) FROM lineitem WHERE l_orderkey <= 200")
+doc("hop_edge_union", q(n("Order", "o"), [hop("CONTAINS|SHIPPED_BY", "", "x")], returns=[ret("x.label", "label"), ret("x", "n", "count")], group_by=["x.label"]),
+    "SELECT 'Part' AS label, count(*) AS n FROM lineitem UNION ALL SELECT 'Supplier', count(*) FROM lineitem")
 doc("hop_any_target", q(n("Nation", "n"), [hop("FROM_NATION", "", "x", direction="in")], returns=[ret("n.n_name", "nation"), ret("x.label", "label"), ret("x", "n", "count")], group_by=["n.n_name", "x.label"]),
     "SELECT n_name AS nation, 'Customer' AS label, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, 'Supplier', count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 doc("edge_property_filter", q(n("Order", "o"), [hop("CONTAINS", "Part", "p", edge="l")], [flt("l.l_quantity", "gte", 45), flt("l.l_returnflag", "eq", "R")], [ret("o.o_orderkey", "ord"), ret("p.p_name", "part"), ret("l.l_quantity", "qty")]),
@@ -355,17 +357,17 @@ def explore_table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explorer(spark, sf_dir).entities_of_type("Customer", 50, 100)[0].select("id", "name")
 
 
-@query("explore_keyword_search", """SELECT 'Nation' AS type, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE contains(lower(trim(n_name)), 'an')
- UNION ALL SELECT 'Region', CAST(r_regionkey AS VARCHAR) FROM region WHERE contains(lower(trim(r_name)), 'an')""")
+@query("explore_keyword_search", """SELECT 'Nation' AS type, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE contains(lower(trim(n_name)), 'as')
+ UNION ALL SELECT 'Region', CAST(r_regionkey AS VARCHAR) FROM region WHERE contains(lower(trim(r_name)), 'as')""")
 def explore_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explorer(spark, sf_dir).keyword("AN").where(F.col("type").isin("Nation", "Region")).select("type", "id")
+    return Explorer(Engine(table_graph(spark, sf_dir).part("Nation", "Region"))).keyword("AS").select("type", "id")
 
 
-@query("explore_edges_among", "SELECT 'IN_REGION' AS rel, CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation WHERE n_nationkey < 12 AND n_regionkey IN (0, 1, 2)")
+@query("explore_edges_among", "SELECT 'IN_REGION' AS rel, CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation")
 def explore_edges_among(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _explorer(spark, sf_dir)
-    nations = e.g.nodes["Nation"].df.where("n_nationkey < 12").select(F.lit("Nation").alias("type"), F.col("n_nationkey").alias("nid"))
-    regions = e.g.nodes["Region"].df.where("r_regionkey <= 2").select(F.lit("Region").alias("type"), F.col("r_regionkey").alias("nid"))
+    nations = e.g.nodes["Nation"].df.select(F.lit("Nation").alias("type"), F.col("n_nationkey").alias("nid"))
+    regions = e.g.nodes["Region"].df.select(F.lit("Region").alias("type"), F.col("r_regionkey").alias("nid"))
     return e.edges_among(nations.union(regions)).select("rel", "src", "dst")
 
 

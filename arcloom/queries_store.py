@@ -143,18 +143,19 @@ class _OneVector:
 
 
 def _retrieval(spark: SparkSession, sf_dir: str) -> retrieve.RetrievalGraph:
-    """Even vectors are chunks, odd ones entities typed by label; a chunk mentions the next two entities and has a source."""
-    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("nid"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
-    even = v.where("nid % 2 = 0")
-    chunks = even.select("nid", F.concat(F.lit("c"), F.col("nid").cast("string")).alias("chunk_id"), F.concat(F.lit("text "), F.col("nid").cast("string")).alias("text"), "vec")
-    entities = v.where("nid % 2 = 1").select("nid", F.concat(F.lit("T"), F.col("label")).alias("type"), F.array(F.concat(F.lit("T"), F.col("label"))).alias("labels"), F.concat(F.lit("e"), F.col("nid").cast("string")).alias("text"), "vec")
-    mentions = even.select(F.col("nid").alias("chunk"), F.explode(F.array(F.col("nid") + 1, F.col("nid") + 3)).alias("entity"))
-    return retrieve.RetrievalGraph(entities, chunks, mentions, even.select(F.col("nid").alias("chunk"), (F.col("nid") % 7).alias("source")), spark.createDataFrame([(i, f"s{i}") for i in range(7)], "nid long, name string"))
+    """Vectors of low labels are chunks, the others entities typed by label; a chunk mentions the entities next to it and has a source."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("nid"), F.col("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    low = v.where("label < 5")
+    kind = F.concat(F.lit("T"), F.col("label").cast("string"))
+    chunks = low.select("nid", F.concat(F.lit("c"), F.col("nid").cast("string")).alias("chunk_id"), F.concat(F.lit("text "), F.col("nid").cast("string")).alias("text"), "vec")
+    entities = v.where("label >= 5").select("nid", kind.alias("type"), F.array(kind).alias("labels"), F.concat(F.lit("e"), F.col("nid").cast("string")).alias("text"), "vec")
+    mentions = low.select(F.col("nid").alias("chunk"), F.explode(F.array(F.col("nid") + 1, F.col("nid") + 3)).alias("entity"))
+    return retrieve.RetrievalGraph(entities, chunks, mentions, low.select(F.col("nid").alias("chunk"), (F.col("nid") % 7).alias("source")), spark.createDataFrame([(i, f"s{i}") for i in range(7)], "nid long, name string"))
 
 
 _RAG = f"""WITH v AS (SELECT vec_id AS nid, label, {_COS} AS s FROM embeddings),
-e AS (SELECT nid, s FROM v WHERE nid % 2 = 1 ORDER BY s DESC, nid LIMIT 50), c AS (SELECT nid, s FROM v WHERE nid % 2 = 0 ORDER BY s DESC, nid LIMIT 50),
-m AS (SELECT v.nid AS chunk, v.nid + d AS entity FROM v, (SELECT unnest([1, 3]) AS d) WHERE v.nid % 2 = 0),
+e AS (SELECT nid, s FROM v WHERE label >= 5 ORDER BY s DESC, nid LIMIT 50), c AS (SELECT nid, s FROM v WHERE label < 5 ORDER BY s DESC, nid LIMIT 50),
+m AS (SELECT v.nid AS chunk, v.nid + d AS entity FROM v, (SELECT unnest([1, 3]) AS d) WHERE v.label < 5),
 a AS (SELECT chunk, sum(s) AS es FROM m JOIN e ON e.nid = m.entity GROUP BY 1)
 SELECT 'c' || CAST(coalesce(a.chunk, c.nid) AS VARCHAR) AS chunk_id, 's' || CAST(coalesce(a.chunk, c.nid) % 7 AS VARCHAR) AS source_name, round(coalesce(es, 0) + coalesce(s, 0), 6) AS score
 FROM a FULL JOIN c ON a.chunk = c.nid ORDER BY coalesce(es, 0) + coalesce(s, 0) DESC, coalesce(a.chunk, c.nid) LIMIT 20"""
@@ -167,7 +168,7 @@ def rag_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("entity_type_search", f"""WITH v AS (SELECT vec_id AS nid, label, {_COS} AS s FROM embeddings),
-e AS (SELECT 'T' || CAST(label AS VARCHAR) AS entity_type, s FROM v WHERE nid % 2 = 1 AND s >= 0.1 ORDER BY s DESC, nid LIMIT 32), c AS (SELECT 'Chunk' AS entity_type, s FROM v WHERE nid % 2 = 0 AND s >= 0.1 ORDER BY s DESC, nid LIMIT 32)
+e AS (SELECT 'T' || CAST(label AS VARCHAR) AS entity_type, s FROM v WHERE label >= 5 AND s >= 0.1 ORDER BY s DESC, nid LIMIT 32), c AS (SELECT 'Chunk' AS entity_type, s FROM v WHERE label < 5 AND s >= 0.1 ORDER BY s DESC, nid LIMIT 32)
 SELECT entity_type, round(max(s), 6) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM c) GROUP BY 1""")
 def entity_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = retrieve.entity_types(_retrieval(spark, sf_dir), EntityTypeQuery("goal", score_threshold=0.1), _OneVector(_first_vector(spark, sf_dir)))
@@ -177,20 +178,15 @@ def entity_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("introspect_types", """SELECT * FROM (VALUES ('Customer', 'c_custkey', 'Int'), ('Customer', 'c_name', 'String'), ('Customer', 'c_nationkey', 'Int'), ('Customer', 'c_acctbal', 'Float'), ('Customer', 'c_mktsegment', 'String'),
  ('Event', 'event_id', 'Int'), ('Event', 'ts', 'Datetime'), ('Event', 'user_id', 'Int'), ('Event', 'event_type', 'String'), ('Event', 'value', 'Float'), ('Event', 'props', 'String')) t(label, property, type)""")
 def introspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = introspect.introspect(_part(spark, sf_dir, "Customer", "Event"))
+    s = introspect.introspect(table_graph(spark, sf_dir).part("Customer", "Event"))
     return spark.createDataFrame([(k.label, p.name, p.type) for k in s.nodes for p in k.properties], "label string, property string, type string")
 
 
-def _part(spark: SparkSession, sf_dir: str, *labels: str) -> GraphCatalog:
-    whole = table_graph(spark, sf_dir)
-    return GraphCatalog(spark, {x: whole.nodes[x] for x in labels}, [e for e in whole.edges if e.source_label in labels and e.target_label in labels])
-
-
 @query("enum_values", """SELECT 'Customer' AS label, 'c_mktsegment' AS property, lower(trim(c_mktsegment)) AS value FROM customer GROUP BY 3
  UNION ALL SELECT 'Event', 'event_type', lower(trim(event_type)) FROM events GROUP BY 3
  UNION ALL SELECT 'Order', 'o_orderstatus', lower(trim(o_orderstatus)) FROM orders GROUP BY 3 UNION ALL SELECT 'Order', 'o_orderpriority', lower(trim(o_orderpriority)) FROM orders GROUP BY 3""")
 def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = introspect.introspect(_part(spark, sf_dir, "Customer", "Event", "Order"))
+    s = introspect.introspect(table_graph(spark, sf_dir).part("Customer", "Event", "Order"))
     rows = [(k.label, p.name, v) for k in s.nodes for p in k.properties for v in p.values if p.name != "props"]
     return spark.createDataFrame(rows, "label string, property string, value string")
 

@@ -87,6 +87,10 @@ class GraphCatalog:
         self.edges.append(EdgeTable(rel, source_label, target_label, df, source, target, **kw))
         return self
 
+    def part(self, *labels: str) -> GraphCatalog:
+        """The graph of some labels and the edges among them."""
+        return GraphCatalog(self.spark, {x: self.nodes[x] for x in labels}, [e for e in self.edges if e.source_label in labels and e.target_label in labels])
+
     def labels(self) -> list[str]:
         return sorted(self.nodes)
 
