@@ -72,8 +72,9 @@ class Explorer:
         Relations are counts by type, direction and the other end's type,
         provenance left out.
         """
-        node = union_all([self._rows(t).where(F.col("id") == str(id)) for t in self._tables(label)]).orderBy("type", "nid").limit(1)
-        rels = self.relation_summary(id, label)
+        here = (F.col("id") == str(id)) | (F.col("nid") == str(id))  # the public id first, then the stored one
+        node = union_all([self._rows(t).where(here) for t in self._tables(label)]).orderBy((F.col("id") == str(id)).desc(), "type", "nid").limit(1)
+        rels = self.relation_summary(label=label, among=node)
         listed = rels.groupBy(F.col("node_type").alias("__t"), F.col("node").alias("__n")).agg(
             F.array_sort(F.collect_list(F.struct("rel", "direction", "other_type", "count"))).alias("relations")
         )
@@ -88,8 +89,8 @@ class Explorer:
         empty = F.array().cast("array<string>")
         return out.select("id", "type", "name", "props", F.coalesce("sources", empty).alias("sources"), "relations")
 
-    def relation_summary(self, id: str | int | None = None, label: str | None = None) -> DataFrame:
-        """(node_type, node, rel, direction, other_type, count) of one node, or of all."""
+    def relation_summary(self, id: str | int | None = None, label: str | None = None, among: DataFrame | None = None) -> DataFrame:
+        """(node_type, node, rel, direction, other_type, count) of one node, of few (type, nid), or of all."""
         frames = []
         for e in self.g.edges:
             if e.rel in PROVENANCE:
@@ -104,6 +105,9 @@ class Explorer:
         both = union_all(frames)
         if id is not None:
             both = both.where(F.col("node") == str(id))
+        if among is not None:
+            few = among.select(F.col("type").alias("node_type"), F.col("nid").alias("node"))
+            both = both.join(few, ["node_type", "node"], "left_semi")
         return both.groupBy("node_type", "node", "rel", "direction", "other_type").agg(F.count("*").alias("count"))
 
     def neighbors(self, id: str | int, label: str, rels: list[str] | None = None, target: str | None = None, direction: str | None = None, limit: int | None = PAGE, offset: int = 0) -> DataFrame:

@@ -82,7 +82,7 @@ class TextIndex:
 
     def __init__(self, nodes: DataFrame, nid: str, text: str, embedder: Embedder | None = None, reranker: Reranker | None = None, vectors: str | None = None):
         self.embedder = embedder or vector.HashingEmbedder()
-        self.reranker = reranker or vector.CosineReranker(self.embedder)
+        self.reranker = reranker
         base = nodes.select(F.col(f"`{nid}`").alias("nid"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{vectors}`").alias("vec")] if vectors else []))
         self.docs = base.where("text is not null")
         self.with_vectors = self.docs if vectors else self.docs.withColumn("vec", self.embedder.column(F.col("text")))
@@ -100,10 +100,18 @@ class TextIndex:
         """(nid, score) of the nodes that a predicate pins."""
         if s.grounding:
             hits = self.lexical(p.query, s.fetch_k) if p.lexical else self.hybrid(p.query, s.fetch_k)
-            return hits.orderBy(F.desc("score"), "nid").limit(1) if p.one else hits
+            # a lexical miss pins nothing; a hybrid one falls back. At most fetch_k rows are looked at
+            if p.lexical or not hits.isEmpty():
+                if not p.one:
+                    return hits
+                if self.reranker is not None:
+                    scored = self.reranker.score(hits.join(self.docs, "nid"), p.query)
+                    hits = scored.select("nid", F.col("rerank").alias("score"))
+                return hits.orderBy(F.desc("score"), "nid").limit(1)
         if p.one or p.rerank:
+            reranker = self.reranker or vector.CosineReranker(self.embedder)
             found = self.hybrid(p.query, s.search_k)
-            scored = self.reranker.score(found.join(self.docs, "nid"), p.query).where(F.col("rerank") >= s.reranker_threshold)
+            scored = reranker.score(found.join(self.docs, "nid"), p.query).where(F.col("rerank") >= s.reranker_threshold)
             best = scored.select("nid", F.col("rerank").alias("score"))
             return best.orderBy(F.desc("score"), "nid").limit(1) if p.one else best
         return self.dense(p.query, s.search_k, s.search_threshold)

@@ -95,6 +95,17 @@ def test_delete_by_source_keeps_what_others_mention(spark, tmp_path):
     assert s.delete_by_source("no such source")[0] == {}
 
 
+def test_documents_of_a_folder_are_parsed_in_tasks(spark, tmp_path):
+    from arcloom.sources.graph_json import read_graphs
+
+    (tmp_path / "docs").mkdir()
+    for i in range(3):
+        (tmp_path / "docs" / f"{i}.json").write_text(json.dumps(SITE | {"source": f"site {i}"}))
+    s = GraphStore(spark, str(tmp_path / "store"))
+    got = s.ingest(read_graphs(spark, str(tmp_path / "docs")))
+    assert (got.nodes, got.edges) == (9, 4 + 3 * 6)  # entities are the same in all, sources differ
+
+
 def test_export_round_trip(spark, store, tmp_path):
     ids = store.nodes().where("type in ('Place', 'Sensor')").select("nid")
     doc = store.export(ids)
