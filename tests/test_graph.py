@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from arcloom.errors import GraphError, IngestError, QueryError, Unsupported
 from arcloom.functions import scalars
-from arcloom.functions.types import Registry
 from arcloom.operators import introspect, resolve, retrieve, vector
 from arcloom.operators.explore import Explorer
 from arcloom.operators.ingest import GraphStore
