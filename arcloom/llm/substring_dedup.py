@@ -222,6 +222,11 @@ class FingerprintIndex:
             .drop("island")
         )
 
+    def discard(self, number: int) -> None:
+        """Removes the working tables of a batch whose spans have been written."""
+        for kind in ("new", "owned"):
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-{number}-{number}"), True)
+
     def compact(self) -> None:
         """Merges the runs of one size when there are FANOUT of them, again and again."""
         for kind, keys in (("fp", ["fp"]), ("win", ["w1", "w2"])):
@@ -258,6 +263,7 @@ def _spans(docs: DataFrame, window: int, gram: int, batches: int) -> DataFrame:
             path = f"{index.path}/spans-{i}-{i}"
             spans.write.mode("overwrite").parquet(path)
             spans = spark.read.schema(spans.schema).parquet(path)
+            index.discard(i)
             spark._jvm.System.gc()  # lets Spark remove the shuffle files of the batch
         out = spans if out is None else out.union(spans)
     return out
