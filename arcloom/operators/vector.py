@@ -126,7 +126,9 @@ def _times(lowered: Column, term: str) -> Column:
     """How often a term is a token: between characters that are no letters or digits."""
     import regex
 
-    return F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(term)}(?![\p{{L}}\p{{N}}])"))
+    # the term comes first, so that the scan looks for it before anything else
+    word = regex.escape(term)
+    return F.regexp_count(lowered, F.lit(rf"{word}(?![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]{word})"))
 
 
 def bm25(docs: DataFrame, query: str, k: int, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:

@@ -94,9 +94,9 @@ class Compiler:
         fields += [F.col(_q(p)).alias(p) for p in t.props if p not in ("nid", "label")]
         return F.struct(*fields).alias(alias)
 
-    def scan(self, alias: str, label: str) -> DataFrame:
-        """One struct column named alias, and `__n_` and it: the id that joins use."""
-        names = sorted(self.labels_of(label))
+    def scan(self, alias: str, label: str, among: set[str] | None = None) -> DataFrame:
+        """One struct column named alias; without a label, of the tables among which it can only lie."""
+        names = sorted(self.labels_of(label) & among if among and not label else self.labels_of(label))
         if not names:
             raise LoweringError(f"no nodes of label {label!r}")
         frames = []
@@ -247,16 +247,17 @@ class Compiler:
         multi = not (source.labels and len(source.labels) == 1)
         rows = self.edge_rows(variants, hop.direction == "both", None if len(variants) == 1 else self._id_kind(variants))
         ends = {(e.target_label if f else e.source_label) for e, f in variants}
-        nodes = self.scan(target, hop.target.label)
+        nodes = self.scan(target, hop.target.label, ends)
         if hop.target.label == "" or len(self.bound[target].labels or ()) > 1:
-            on = (F.col("__far").cast("string") == F.col(_q(target))["nid"].cast("string")) & (F.col("__far_label") == F.col(_q(target))["label"])
+            there = _same(F.col("__far"), rows.schema["__far"].dataType, F.col(_q(target))["nid"], nodes.schema[target].dataType["nid"].dataType)
+            on = there & (F.col("__far_label") == F.col(_q(target))["label"])
         else:
             on = F.col("__far") == F.col(_q(target))["nid"]
         side = rows.join(nodes, on).select(
             F.col("__near").alias("__near"), "__near_label", F.col("__edge").alias(edge_alias), F.col(_q(target))
         )
         self.bound[target].labels = (self.bound[target].labels or set()) & ends if self.bound[target].labels else ends
-        match = here["nid"].cast("string") == F.col("__near").cast("string") if multi else here["nid"] == F.col("__near")
+        match = _same(here["nid"], self.df.schema[hop.source].dataType["nid"].dataType, F.col("__near"), rows.schema["__near"].dataType)
         if multi or len({(e.source_label if f else e.target_label) for e, f in variants}) > 1:
             match = match & (here["label"] == F.col("__near_label"))
         joined = self.df.join(side, match, how).drop("__near", "__near_label")
@@ -337,9 +338,9 @@ class Compiler:
             if k >= depth[0]:
                 found.append(cur)
         paths = union_all(found)
-        nodes = self.scan(target, hop.target.label)
+        nodes = self.scan(target, hop.target.label, labels)
         node = F.col(_q(target))
-        on = (F.col("__at") == node["nid"]) if kind == nodes.schema[target].dataType["nid"].dataType.simpleString() else (F.col("__at").cast("string") == node["nid"].cast("string"))
+        on = _same(F.col("__at"), rows.schema["__near"].dataType, node["nid"], nodes.schema[target].dataType["nid"].dataType)
         if not one_label or len(self.bound[target].labels or ()) > 1:
             on = on & (F.col("__at_label") == node["label"])
         done = paths.join(nodes, on).drop("__at", "__at_label")
@@ -610,6 +611,13 @@ def _integral(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.IntegralType)
 
 
+def _same(a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType) -> Column:
+    """Equality of two ids, as text only if they are of different sorts."""
+    if a_kind == b_kind or isinstance(a_kind, T.IntegralType) and isinstance(b_kind, T.IntegralType):
+        return a == b
+    return a.cast("string") == b.cast("string")
+
+
 def _holds(edges: Column, eid: Column, tab: Column) -> Column:
     return F.exists(edges, lambda x: (x["eid"] == eid) & (x["tab"] == tab))
 
