@@ -12,9 +12,10 @@ import enum
 import math
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any, Protocol
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +69,20 @@ class Capability(enum.Flag):
         return [op for c, ops in table.items() if c in self for op in ops]
 
 
+@dataclass(frozen=True)
+class Contribution:
+    """What a handler may add to a plan beside or instead of a predicate."""
+
+    #: Rows (nid, and score if it has one) that the filtered alias is joined to.
+    hits: DataFrame | None = None
+    predicate: Column | None = None
+    #: Sort keys after the query's own; unused when it aggregates.
+    order: tuple[Column, ...] = ()
+
+
 class TypeHandler(Protocol):
+    """A field type. A handler may also have `contribute(field, kind, op, value) -> Contribution`, which then replaces `predicate`."""
+
     type_id: str
     capabilities: Capability
 

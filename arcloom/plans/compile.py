@@ -48,6 +48,7 @@ class Compiler:
         self.g, self.q, self.s, self.registry, self.types, self.indexes = catalog, query, settings, registry, types, indexes
         self.bound: dict[str, Binding] = {}
         self.scores: list[str] = []
+        self.order: list[Column] = []
         self.df: DataFrame
 
     # --- names and columns ---------------------------------------------------
@@ -365,6 +366,28 @@ class Compiler:
             raise FieldTypeError(f"{h.type_id} has no operator {op!r}")
         return h.predicate(c, kind, op, f.value)
 
+    def apply(self, f: Filter) -> None:
+        """One filter of the AND list: a predicate, or what the field's handler contributes."""
+        handler = f.type or self.inferred(f.field)
+        h = self.registry.get(handler) if handler else None
+        contribute = getattr(h, "contribute", None)
+        if contribute is None:
+            self.df = self.df.where(self.predicate(f))
+            return
+        c, kind = self.column(f.field)
+        got = contribute(c, kind, f.op, f.value)
+        if got.hits is not None:
+            alias = f.field.partition(".")[0]
+            score = f"__score_{len(self.scores)}_{alias}"
+            scored = "score" in got.hits.columns
+            hits = got.hits.select(F.col("nid").alias("__hit"), *([F.col("score").alias(score)] if scored else []))
+            self.df = self.df.join(hits, F.col(_q(alias))["nid"] == F.col("__hit"), "inner").drop("__hit")
+            if scored:
+                self.scores.append(score)
+        if got.predicate is not None:
+            self.df = self.df.where(got.predicate)
+        self.order += got.order
+
     def condition(self, tree: Any) -> Column:
         """A tree of filters, with three-valued logic."""
         if isinstance(tree, Filter):
@@ -413,7 +436,7 @@ class Compiler:
         late_aliases = {h.target.alias for h in optional}
         early = [f for f in plain if f.field.partition(".")[0] not in late_aliases and f.field.partition(".")[0] in self.bound]
         for f in early:
-            self.df = self.df.where(self.predicate(f))
+            self.apply(f)
         late = [f for f in plain if f not in early]
         for i, h in enumerate(optional):
             before = self.df
@@ -425,7 +448,7 @@ class Compiler:
                     late = [f for f in late if f not in own]
             self._pin(pins, h.target.alias)
         for f in late:
-            self.df = self.df.where(self.predicate(f))
+            self.apply(f)
         if q.where is not None:
             self.df = self.df.where(self.condition(q.where))
         return self._project()
@@ -565,6 +588,10 @@ class Compiler:
             sorts.append(self._key(s, F.col(f"__sort_{i}")))
         if self.scores and "score" in names:
             sorts.append(F.col("score").desc_nulls_last())
+        if not q.distinct:
+            for i, c in enumerate(self.order):
+                hidden.append(c.alias(f"__order_{i}"))
+                sorts.append(F.col(f"__order_{i}").asc_nulls_last())
         df = self.df.select(*cols, *hidden)
         if q.distinct:
             df = df.distinct()

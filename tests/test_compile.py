@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcloom.errors import FieldTypeError, LoweringError
 from arcloom.plans.compile import Engine
@@ -169,3 +170,28 @@ def test_embedded_edges_need_no_extra_join(spark, sf_dir):
     doc = {"start": {"label": "Nation", "alias": "n"}, "traversals": [{"edge": {"label": "FROM_NATION", "direction": "in"}, "target": {"label": "Customer", "alias": "c"}}, {"from": "c", "edge": {"label": "PLACED"}, "target": {"label": "Order", "alias": "o"}}], "filters": [{"field": "o.o_orderstatus", "op": "eq", "value": "F"}], "return": [{"field": "n.n_name", "alias": "n"}, {"field": "o", "aggregate": "count", "alias": "c"}], "group_by": ["n.n_name"]}
     text = e.plan(doc)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Join") == 2 and text.count("FileScan") == 3 and "EqualTo(o_orderstatus,F)" in text
+
+
+def test_a_new_field_type_plugs_in(spark, engine):
+    from arcloom.functions.types import Capability, Contribution, Registry
+
+    class Near:
+        """Values nearest to a number first, from a table of hits, within a distance."""
+
+        type_id, capabilities = "Near", Capability.EQUALITY
+
+        def supported_ops(self):
+            return ["eq"]
+
+        def contribute(self, c, kind, op, value):
+            hits = spark.createDataFrame([(0, 1.0), (3, 0.5), (4, 2.0), (5, 1.0)], "nid long, score double")
+            return Contribution(hits, F.abs(c - value) <= 1, (F.abs(c - value),))
+
+    registry = Registry()
+    registry.register(Near())
+    e = Engine(engine.catalog, registry=registry)
+    got = e.plan({"start": {"label": "A", "alias": "a"}, "filters": [{"field": "a.v", "op": "eq", "value": 1, "type": "Near"}], "return": [{"field": "a.k", "alias": "k"}]})
+    assert [tuple(r) for r in got.collect()] == [(4, 2.0), (5, 1.0), (3, 0.5)]
+    assert "Near" in registry.names()
+    n = e.plan({"start": {"label": "A", "alias": "a"}, "filters": [{"field": "a.v", "op": "eq", "value": 1, "type": "Near"}], "return": [{"field": "a", "aggregate": "count", "alias": "n"}]})
+    assert n.first()["n"] == 3
