@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import share_path
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
