@@ -5,7 +5,7 @@
    MANTISSA bits that follow the first one: 16 bits instead of 64.
 2. Equal texts (equal word sequences, 128-bit) are one vertex from here on.
 3. Registers, with empty ones filled from others by a fixed probe order, are
-   cut into bands; in a bucket of a band every document is paired with the
+   cut into bands; in a bucket of a band every document is first paired with the
    smallest and with the one before it, so a bucket of n gives under 2n pairs.
 4. A pair's Jaccard index is estimated from the share of equal registers less
    the collisions expected of two sets of these sizes, and dropped only if it
@@ -13,7 +13,10 @@
 5. The rest is verified on the whole sets of shingles.  The best pair between
    two groups goes first, so pairs inside a group that is already proven are
    not verified at all.
-6. Verified pairs are closed to groups, named by their smallest doc_id.
+6. Verified pairs are closed to groups, named by their smallest doc_id. Then all
+   other pairs of a bucket that lie in two groups, or in none, go through 4 and 5
+   too, without a cap: copies that are like their original alone are found from
+   any place in a bucket. Pairs grow with the square of a bucket's groups only.
 
 Defined cases: null doc_id, null text and text without a word belong to no
 group. Rows that repeat a doc_id are one document. Texts shorter than a shingle
@@ -159,12 +162,14 @@ def _matrix(col: pa.Array, dtype: type, width: int) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, sig and others: the key of every band with doc_id and the others."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             keys = band_keys(_matrix(part.column(1), np.uint16, M))
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(signed(keys.ravel())), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "doc_id"])
+            rest = [part.column(c).to_numpy(zero_copy_only=False) for c in range(part.num_columns) if c != 1]
+            names = [n for n in part.schema.names if n != part.schema.names[1]]
+            yield pa.record_batch([pa.array(signed(keys.ravel())), *(pa.array(np.repeat(x, keys.shape[1])) for x in rest)], names=["key", *names])
 
 
 def _estimates(threshold: float):
@@ -210,35 +215,38 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near copy; group_id is the smallest doc_id of its group."""
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    signed_ = base.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, n long, sig binary")
-    same = Window.partitionBy("c1", "c2")
-    vertices = written(
-        signed_.withColumn("rep", F.min("doc_id").over(same)).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
-        "vertices",
-    )
-    sigs = vertices.where("sig is not null").select("doc_id", "n", "sig")
-    bucket = Window.partitionBy("key").orderBy("doc_id")
-    pairs = (
-        sigs.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
-        .select("doc_id", F.first("doc_id").over(bucket).alias("least"), F.lag("doc_id").over(bucket).alias("before"))
-        .where("least <> doc_id")
-        .select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col("doc_id").alias("b"))
-        .where("a <> b").distinct()
-    )
-    estimated = written(
+def _estimated(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, est) of the pairs (a, b) that may reach the threshold."""
+    return written(
         pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
         .mapInArrow(_estimates(threshold), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")),
         "pairs",
     )
-    wanted = estimated.select(F.col("a").alias("doc_id")).union(estimated.select("b")).distinct()
-    # the texts meet their ids in a shuffle at every size: the ids grow with the corpus, so they are never broadcast
-    sets = written(base.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
-    proven = spark.createDataFrame([], "a long, b long")
-    open_, labels = estimated, None
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _untried(sigs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b): all pairs of a bucket whose documents are of different groups, a group-less one being its own."""
+    if labels is None:
+        grouped = sigs.select("doc_id", "sig", F.col("doc_id").alias("label"))
+    else:
+        grouped = sigs.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("doc_id", "sig", F.coalesce("label", "doc_id").alias("label"))
+    bucket = Window.partitionBy("key")
+    mixed = written(
+        grouped.mapInArrow(_bands, "key long, doc_id long, label long")
+        .withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)})
+        .where("low <> high").select("key", "doc_id", "label"),
+        "buckets",
+    )
+    both = mixed.toDF("key", "a", "la").join(mixed.toDF("key", "b", "lb").hint("merge"), "key")
+    return both.where("a < b and la <> lb").select("a", "b").distinct()
+
+
+def _closed(open_: DataFrame, sets: DataFrame, proven: DataFrame, labels: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """proven with the pairs of open_ (a, b, est) that verification adds, and the groups (node, label) of all."""
     for turn in range(3):  # the best pair between two groups, again, then all that is left
         if labels is not None:
             la, lb = labels.toDF("a", "ga"), labels.toDF("b", "gb")
@@ -249,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         else:
             open_ = open_.withColumns({"ga": F.col("a"), "gb": F.col("b")})
         if turn < 2:
-            # turn 0 has no groups yet: every document tries its likeliest partner
+            # turn 0: every document, or group, tries its likeliest partner
             by = [F.col("gb")] if turn == 0 else [F.least("ga", "gb"), F.greatest("ga", "gb")]
             best = Window.partitionBy(*by).orderBy(F.desc("est"), "a", "b")
             now = checkpointed(open_.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"))
@@ -262,8 +270,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             now.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
             .mapInArrow(_verify(threshold), "a long, b long").distinct()
         )
-        proven = checkpointed(proven.union(found))
-        labels = checkpointed(components(proven))
+        found = checkpointed(found)
+        if not found.isEmpty():
+            proven = checkpointed(proven.union(found))
+            labels = checkpointed(components(proven))
+    return proven, labels
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, group_id) of every document that has a near copy; group_id is the smallest doc_id of its group."""
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    signed_ = base.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, n long, sig binary")
+    same = Window.partitionBy("c1", "c2")
+    vertices = written(
+        signed_.withColumn("rep", F.min("doc_id").over(same)).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
+        "vertices",
+    )
+    sigs = vertices.where("sig is not null").select("doc_id", "n", "sig")
+    bucket = Window.partitionBy("key").orderBy("doc_id")
+    pairs = (
+        sigs.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
+        .select("doc_id", F.first("doc_id").over(bucket).alias("least"), F.lag("doc_id").over(bucket).alias("before"))
+        .where("least <> doc_id")
+        .select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col("doc_id").alias("b"))
+        .where("a <> b").distinct()
+    )
+    estimated = _estimated(pairs, sigs, threshold)
+    wanted = _ends(estimated)
+    # the texts meet their ids in a shuffle at every size: the ids grow with the corpus, so they are never broadcast
+    sets = written(base.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    proven, labels = _closed(estimated, sets, spark.createDataFrame([], "a long, b long"), None, threshold)
+    rest = _estimated(_untried(sigs, labels), sigs, threshold).join(estimated.select("a", "b"), ["a", "b"], "left_anti")
+    rest = checkpointed(rest)
+    if not rest.isEmpty():
+        more = base.join(_ends(rest).join(wanted, "doc_id", "left_anti").hint("merge"), "doc_id", "left_semi")
+        sets = sets.union(written(more.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles"))
+        proven, labels = _closed(rest, sets, proven, labels, threshold)
     groups = vertices.select("doc_id", "rep")
     if labels is not None:
         groups = groups.join(labels.toDF("rep", "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))

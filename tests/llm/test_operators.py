@@ -83,6 +83,33 @@ def test_large_group_keeps_one(spark):
     assert sorted(r[0] for r in left) == [0, 10_000]
 
 
+def test_star_of_copies_around_a_middle_id_against_brute_force(spark):
+    """Copies that reach the threshold with their original alone, which is neither least nor a neighbour."""
+    base, r = words(77, 240, 5000), random.Random(8)
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.randrange(18, 21) if i != 150 else 0):
+            w[at] = f"edit{r.randrange(10**6)}"
+        texts.append(w)
+    texts += [words(900 + i, 100, 5000) for i in range(20)]
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    near = [(i, j) for i in range(300) for j in range(i) if jaccard(texts[i], texts[j]) >= near_dedup.THRESHOLD]
+    assert len([p for p in near if 150 not in p]) < 30 and sum(150 in p for p in near) > 290
+    for i, j in near:
+        a, b = root(i), root(j)
+        top[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(table(spark, [(i, " ".join(w), "a") for i, w in enumerate(texts)])).collect()}
+    of = {i: root(i) for i in range(len(texts))}
+    assert got == {i: g for i, g in of.items() if list(of.values()).count(g) > 1}
+
+
 def test_near_dedup_awkward(awkward):
     got = {(r["doc_id"], r["group_id"]) for r in near_dedup.near_duplicates(awkward).collect()}
     assert got == {(9, 9), (10, 9)}
