@@ -14,7 +14,15 @@ The hash is the first 63 bits of a shingle's MD5, which SQL can give too.
 `fingerprints` sketches each document's two halves by words (shingles that
 begin in the first half, and the others), merges them to the document's sketch,
 and estimates how far the halves repeat each other, all in one pass over the
-text without a shuffle.  `merged` merges sketches by a column.
+text without a shuffle.  `merged` merges sketches by a column, and
+`source_sketches` those of all documents of a source.
+
+`document_pairs` estimates resemblance and containment of every two documents
+whose sketches share a hash; all others have an estimate of 0.  There is no cap
+on a hash's documents.  Sketches are dealt to blocks, and each pair of blocks is
+a cell: one task joins its sketches on the hashes, so no pair is found twice. A
+shared hash is in the union's sketch if its ranks in both, less the shared ones
+before it, are under K.
 
 Words are runs of ASCII letters, digits and all characters beyond ASCII, with
 ASCII letters in lower case. Defined cases: null text has null results; a text
@@ -31,13 +39,19 @@ import re
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHINGLE = 4
 K = 64
+#: Documents of a block, and shared hashes taken up at once; neither changes the result.
+BLOCK = 1 << 15
+AT_ONCE = 2_000_000
 RANGE = float(1 << 63)
 _WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -138,6 +152,110 @@ def merged(sketches: DataFrame, by: str, column: str = "sketch", k: int = K) ->
     return few.groupBy(F.col("key").alias(by)).agg(F.array_sort(F.collect_list("h")).alias(column))
 
 
+def source_sketches(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
+    """(source, sketch, n_distinct) of all documents of each source, null too."""
+    one = fingerprints(docs.select(F.col("source").alias("doc_id"), "text"), n, k)
+    one = one.withColumn("sketch", F.coalesce("sketch", F.array().cast("array<long>")))
+    return merged(one, "doc_id", k=k).select(F.col("doc_id").alias("source"), "sketch", distinct_estimate(F.col("sketch"), k).alias("n_distinct"))
+
+
+def _matrix(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows, filled up with the greatest number, and their lengths."""
+    size = np.asarray(lists.value_lengths())
+    out = np.full((len(lists), k), np.iinfo(np.int64).max)
+    out[np.arange(k) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out, size
+
+
+def _cell(ids_a: np.ndarray, a: np.ndarray, na: np.ndarray, ids_b: np.ndarray, b: np.ndarray, nb: np.ndarray, k: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Estimates of the pairs of a row of a and one of b that share a hash; if both are the same block, of each two rows once."""
+    row_b, rank_b = np.nonzero(np.arange(k) < nb[:, None])
+    order = np.argsort(b[row_b, rank_b], kind="stable")
+    row_b, rank_b = row_b[order], rank_b[order]
+    there = b[row_b, rank_b]
+    row_a, rank_a = np.nonzero(np.arange(k) < na[:, None])
+    here = a[row_a, rank_a]
+    low = np.searchsorted(there, here, "left")
+    count = np.searchsorted(there, here, "right") - low
+    total = np.concatenate([[0], np.cumsum(np.bincount(row_a, count, len(a)).astype(np.int64))])
+    first = np.searchsorted(row_a, np.arange(len(a) + 1))
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + AT_ONCE, "right")) - 1)
+        s = slice(first[i], first[j])
+        c = count[s]
+        at = np.repeat(low[s] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        x, y = np.repeat(row_a[s], c), row_b[at]
+        ranks = np.repeat(rank_a[s], c) + rank_b[at]
+        i = j
+        other = ids_a[x] != ids_b[y]
+        if same:
+            other &= x < y
+        x, y, ranks = x[other], y[other], ranks[other]
+        if not len(x):
+            continue
+        key = x * len(b) + y
+        order = np.argsort(key, kind="stable")  # a pair's shared hashes stay in the order of their ranks
+        key, ranks = key[order], ranks[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        shared = np.diff(np.append(start, len(key)))
+        inside = ranks - (np.arange(len(key)) - np.repeat(start, shared)) < k
+        both = np.add.reduceat(inside.astype(np.int64), start)
+        x, y = key[start] // len(b), key[start] % len(b)
+        union = np.minimum(k, na[x] + nb[y] - shared)
+        # of a merge of both, the first k + both are the union's sketch: how many of them are of a
+        m = union + both
+        lo, hi = np.maximum(0, m - nb[y]), np.minimum(m, na[x])
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            less = a[x, np.minimum(mid, k - 1)] < b[y, np.clip(m - mid - 1, 0, k - 1)]
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        own_a, own_b = lo, m - lo
+        p, q = ids_a[x], ids_b[y]
+        swap = p > q
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ab, ba = both / own_a, both / own_b
+        ab, ba = np.where(swap, ba, ab), np.where(swap, ab, ba)
+        columns = [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(both / union), pa.array(ab, mask=np.isnan(ab)), pa.array(ba, mask=np.isnan(ba))]
+        yield pa.record_batch(columns, names=["a", "b", "resemblance", "a_in_b", "b_in_a"])
+
+
+def _cells(k: int):
+    """Columns doc_id, sketch, i, j, block: the cells (i, j) of a partition one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [x for x in batches if x.num_rows]
+        if not batches:
+            return
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        i, j, block = (whole.column(c).to_numpy() for c in ("i", "j", "block"))
+        for u, v in sorted(set(zip(i.tolist(), j.tolist()))):
+            sides = []
+            for side in (u, v):
+                part = whole.filter(pa.array((i == u) & (j == v) & (block == side))).combine_chunks()
+                if part.num_rows:
+                    sides.append((part.column("doc_id").to_numpy(), *_matrix(part.column("sketch").chunk(0), k)))
+            if len(sides) == 2:
+                yield from _cell(*sides[0], *sides[1], k, u == v)
+
+    return run
+
+
+def document_pairs(docs: DataFrame, n: int = SHINGLE, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(a, b, resemblance, a_in_b, b_in_a) of every two documents, a < b, whose sketches share a hash.
+
+    Rows of null doc_id or without a shingle are in no pair. Identical rows of a
+    doc_id are one; versions of one are no pair, but each has its own with others.
+    """
+    one = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, k)
+    sketches = written(one.where("doc_id is not null and size(sketch) > 0").select("doc_id", "sketch").distinct(), "sketches")
+    blocks = max(1, -(-sketches.count() // block))
+    dealt = sketches.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.select("doc_id", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    return cells.repartition(blocks * (blocks + 1) // 2, "i", "j").mapInArrow(_cells(k), "a long, b long, resemblance double, a_in_b double, b_in_a double")
+
+
 def sql(n: int = SHINGLE, k: int = K) -> str:
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, text,

@@ -66,6 +66,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import document_pairs
+
+    return document_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op8_source_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import source_sketches
+
+    return source_sketches(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 

@@ -495,6 +495,37 @@ def test_sketches_merge(spark):
         assert got[source] == want
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_document_pairs_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(fingerprints, "AT_ONCE", 50)
+    r, base = random.Random(4), words(31, 60, 300)
+    rows = [(i, " ".join(base[: r.randrange(1, 60)] + words(700 + i, r.randrange(60), 300)), f"s{i % 3}") for i in range(40)]
+    rows += [(100 + i, rows[i][1], "s3") for i in range(5)] + [(100, rows[0][1], "s3"), (3, rows[9][1], None), (None, rows[1][1], "s1"), (200, "", "s1"), (201, None, "s4")]
+    k = 16
+    sketch = {(i, tuple(fingerprints.bottom(fingerprints.shingle_hashes(t)[0], k))) for i, t, _ in rows if i is not None and t}
+    want = []
+    for i, a in sketch:
+        for j, b in sketch:
+            if i < j and set(a) & set(b):
+                u = set(sorted(set(a) | set(b))[:k])
+                both, own, other = len(u & set(a) & set(b)), len(u & set(a)), len(u & set(b))
+                want.append((i, j, both / len(u), both / own if own else None, both / other if other else None))
+    docs = table(spark, rows)
+    got = fingerprints.document_pairs(docs, k=k, block=block).collect()
+    assert len(want) > 100 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    merged = {x["source"]: x["sketch"] for x in fingerprints.source_sketches(docs, k=k).collect()}
+    for s in {s for _, _, s in rows}:
+        assert merged[s] == fingerprints.bottom({h for _, t, x in rows if x == s and t for h in fingerprints.shingle_hashes(t)[0]}, k)
+
+
+def test_document_pairs_and_source_sketches_are_registered(spark, empty, sf_dir):
+    from arcloom.llm import queries
+
+    assert {"op8_document_pairs", "op8_source_sketches"} <= set(queries.queries())
+    assert fingerprints.document_pairs(empty).count() == 0 and fingerprints.source_sketches(empty).count() == 0
+    assert queries.queries()["op8_document_pairs"](spark, sf_dir).where("resemblance = 1").count() > 0
+
+
 def test_fingerprints_awkward(awkward, empty):
     rows = [r for r in fingerprints.fingerprints(awkward).collect()]
     assert len(rows) == awkward.count()
