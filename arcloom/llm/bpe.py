@@ -244,7 +244,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, column: str = "toke
 
 
 def with_bytes(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, n_tokens, decoded_bytes, decoded_md5): what decoding gives, without the texts themselves."""
+    """(doc_id, tokens, n_tokens, decoded_bytes, decoded_md5, decoded): what decoding gives, as bytes, and their number and digest."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +252,16 @@ def with_bytes(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         c = codec(vocabulary)
         for batch in batches:
-            n, size, digest = [], [], []
+            n, size, digest, whole = [], [], [], []
             for x in batch.column(1):
                 if x.values is None:
-                    n.append(None), size.append(None), digest.append(None)
+                    n.append(None), size.append(None), digest.append(None), whole.append(None)
                     continue
                 raw = c.decode(x.values.to_numpy(zero_copy_only=False))
-                n.append(len(x.values)), size.append(len(raw)), digest.append(hashlib.md5(raw).hexdigest())
+                n.append(len(x.values)), size.append(len(raw)), digest.append(hashlib.md5(raw).hexdigest()), whole.append(raw)
             yield pa.record_batch(
-                [*batch.columns, pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(digest, pa.string())],
-                names=["doc_id", "tokens", "n_tokens", "decoded_bytes", "decoded_md5"],
+                [*batch.columns, pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(whole, pa.binary())],
+                names=["doc_id", "tokens", "n_tokens", "decoded_bytes", "decoded_md5", "decoded"],
             )
 
-    return encoded.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, tokens array<int>, n_tokens int, decoded_bytes long, decoded_md5 string")
+    return encoded.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, tokens array<int>, n_tokens int, decoded_bytes long, decoded_md5 string, decoded binary")

@@ -466,6 +466,14 @@ def test_tokens_match_the_vocabularys_own_library(spark):
     assert [got[i] for i in range(3)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_op10_gives_the_decoded_bytes(spark, awkward, sf_dir):
+    from arcloom.llm import queries
+
+    texts = {(r["doc_id"], None if r["text"] is None else r["text"].encode()) for r in awkward.collect()}
+    assert {(r["doc_id"], None if r["decoded"] is None else bytes(r["decoded"])) for r in bpe.with_bytes(bpe.encode(awkward)).collect()} == texts
+    assert "decoded" in queries.queries()["op10_bpe"](spark, sf_dir).columns
+
+
 def test_tokens_empty(empty):
     assert bpe.encode(empty).count() == 0 and token_counts.token_counts(empty).count() == 0
     assert bpe.with_bytes(bpe.encode(empty)).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
