@@ -45,7 +45,7 @@ from .common import U64, Words, buffers, chunks, hidden, mix, rolling, shared_di
 WINDOW = 50
 GRAM = 25
 FANOUT = 4
-BATCHES = 2
+BATCHES = 6
 
 
 def _slide(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -258,13 +258,12 @@ def _spans(docs: DataFrame, window: int, gram: int, batches: int) -> DataFrame:
         batch = base if low is None else base.where(F.col("doc_id") > low)
         batch = batch if high is None else batch.where(F.col("doc_id") <= high)
         known = base.where(F.col("doc_id") <= low) if low is not None else base.where(F.lit(False))
-        spans = index.add(batch, known, last=high is None)
-        if high is not None:
-            path = f"{index.path}/spans-{i}-{i}"
-            spans.write.mode("overwrite").parquet(path)
-            spans = spark.read.schema(spans.schema).parquet(path)
-            index.discard(i)
-            spark._jvm.System.gc()  # lets Spark remove the shuffle files of the batch
+        spans = index.add(batch, known)
+        path = f"{index.path}/spans-{i}-{i}"
+        spans.write.mode("overwrite").parquet(path)
+        spans = spark.read.schema(spans.schema).parquet(path)
+        index.discard(i)
+        spark._jvm.System.gc()  # lets Spark remove the shuffle files of the batch
         out = spans if out is None else out.union(spans)
     return out
 

@@ -324,6 +324,18 @@ def test_index_compacts_and_survives(spark):
     assert index.runs("fp") == [(0, 3), (4, 4)]
 
 
+def test_registered_batches_compact_and_index_the_last(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    monkeypatch.setattr(substring_dedup, "shared_dir", lambda *_: path)
+    rows = [(i, " ".join([*words(i, 60), *words(4321, 55)]), "a") for i in range(24)]
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["owner_id"]) for r in got) == [(i, 0) for i in range(1, 24)]
+    last = substring_dedup.BATCHES - 1
+    for kind in ("fp", "win"):
+        runs = substring_dedup.FingerprintIndex(spark, path).runs(kind)
+        assert any(b > a for a, b in runs) and runs[-1][1] == last
+
+
 def test_remove_repeats(spark):
     shared = " ".join(words(1, 60, 3000))
     rows = [(1, "Head one. " + shared + " tail.", "a"), (2, "Other start, " + shared + "! Other end", "a"), (3, "clean é text", "a"), (4, shared, "b")]
