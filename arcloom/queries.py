@@ -363,6 +363,11 @@ def explore_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Explorer(Engine(table_graph(spark, sf_dir).part("Nation", "Region"))).keyword("AS").select("type", "id")
 
 
+@query("explore_keyword_search_all")
+def explore_keyword_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Explorer(Engine(table_graph(spark, sf_dir))).keyword("AS").select("type", "id")
+
+
 @query("explore_edges_among", "SELECT 'IN_REGION' AS rel, CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation")
 def explore_edges_among(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _explorer(spark, sf_dir)

@@ -191,6 +191,19 @@ def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "label string, property string, value string")
 
 
+@query("introspect_types_all")
+def introspect_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = introspect.introspect(table_graph(spark, sf_dir))
+    return spark.createDataFrame([(k.label, p.name, p.type) for k in s.nodes for p in k.properties], "label string, property string, type string")
+
+
+@query("enum_values_all")
+def enum_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = introspect.introspect(table_graph(spark, sf_dir))
+    rows = [(k.label, p.name, v) for k in s.nodes for p in k.properties for v in p.values]
+    return spark.createDataFrame(rows, "label string, property string, value string")
+
+
 @query("tenant_prefix", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
 def tenant_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
