@@ -10,12 +10,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -170,20 +173,65 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings of the session, their dots as double underscores, while a job is planned and run; put back after it."""
+    conf = {name.replace("__", "."): value for name, value in conf.items()}
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: Shuffle files go as soon as the job that needed them has been written.
+TIDY = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder: it outlives executors and cuts the lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "step")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: columns are pruned and counted when it is read again."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    with settings(spark, **TIDY):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, column: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with column as a long in the order of its values, and a function that gives columns of a result their values back.
+
+    Whole numbers are their own key. Values of other types, such as text, are
+    sorted and numbered once; df is written with the numbers in their place, so
+    all that follows works on longs. Null stays null.
+    """
+    spark, kind = df.sparkSession, df.schema[column].dataType
+    if isinstance(kind, IntegralType):
+        return df.withColumn(column, F.col(column).cast("long")), lambda out, *names: out.withColumns({c: F.col(c).cast(kind) for c in names})
+    value, number = hidden(df, "value_of_key", "number_of_key")
+    ids = df.select(F.col(column).alias(value)).where(F.col(value).isNotNull()).distinct().orderBy(value)
+    ids = written(ids.select(value, F.monotonically_increasing_id().alias(number)), "keys")
+    changed = df.join(ids.hint("merge"), df[column] == ids[value], "left").select(*[F.col(number).alias(c) if c == column else df[c] for c in df.columns])
+
+    def back(out: DataFrame, *names: str) -> DataFrame:
+        columns = out.columns
+        for c in names:
+            out = out.join(ids.withColumnRenamed(number, f"number_of_{c}").withColumnRenamed(value, f"value_of_{c}"), F.col(c) == F.col(f"number_of_{c}"), "left")
+        return out.select(*[F.col(f"value_of_{c}").alias(c) if c in names else F.col(c) for c in columns])
+
+    return written(changed, "keyed"), back
+
+
 def hidden(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of df."""
     have = {c.lower() for c in df.columns}

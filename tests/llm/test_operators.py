@@ -258,6 +258,53 @@ def test_exact_top_k_against_brute_force(spark):
         assert got == want
 
 
+def in_order(x, y):
+    total = 0.0  # sum() would compensate for rounding
+    for a, b in zip(x, y):
+        total += float(a) * float(b)
+    return total
+
+
+def nearest(v, k, names=None):
+    """(query, rank, neighbour) by sums in the order of the components."""
+    names, out = names or list(range(len(v))), set()
+    for i, x in enumerate(v):
+        s = [in_order(x, y) for y in v]
+        order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[j], names[j]))[:k]
+        out |= {(names[i], r + 1, names[j], s[j]) for r, j in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("case", ["small", "large", "near ties", "mixed"])
+def test_exact_top_k_of_any_size_of_vectors(spark, case, monkeypatch):
+    monkeypatch.setattr(exact_topk, "TILE", 16)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 4))
+    if case == "small":
+        v *= 1e-4
+    elif case == "large":
+        v *= 1e4
+    elif case == "near ties":
+        v = v[:1] + rng.normal(size=(60, 4)) * 1e-9
+    else:
+        v *= 10.0 ** rng.integers(-6, 6, (60, 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for rows in (1000, 9):
+        assert {tuple(r) for r in exact_topk.exact_top_k(df, 5, block_rows=rows).collect()} == nearest(v, 5)
+
+
+def test_exact_top_k_ids_of_text_repeated_vectors_and_infinity(spark):
+    v = [[1.0, 2.0]] * 20 + [[0.5, 0.0]]
+    names = [f"v{i:02d}" for i in range(21)]
+    rows = [*zip(names, v), ("w", [float("inf"), 0.0]), ("x", [0.0, float("-inf")])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    for n in (1000, 4):
+        assert {tuple(r) for r in exact_topk.exact_top_k(df, 3, block_rows=n).collect()} == nearest(v, 3, names)
+    huge = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e200, -1e200]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in exact_topk.exact_top_k(huge, 2).collect()}
+    assert got[1, 1] == (3, 2e200) and got[1, 2] == (2, float("-inf"))
+
+
 def test_exact_top_k_awkward(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [-1.0, 0.0]), (8, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
