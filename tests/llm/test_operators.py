@@ -356,19 +356,48 @@ def test_repeats_against_brute_force(spark, batches):
     assert got == brute_repeats(texts, 12)
 
 
-def test_index_compacts_and_survives(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_index_compacts_survives_and_is_extended(spark, kind):
+    """Five calls on one folder, each as a new job would open it."""
     texts = repeating_corpus(9, 50, 12)
-    index = substring_dedup.FingerprintIndex(spark, common.shared_dir(spark, "index"), 12, 6)
-    known, spans = [], []
+    path = common.shared_dir(spark, "index")
+    name = (lambda i: f"doc{i:03d}") if kind == "string" else (lambda i: i)
+    spans = []
     for b in range(5):
-        rows = [(i, " ".join(w), "a") for i, w in texts.items() if i // 10 == b]
-        batch = table(spark, rows).select("doc_id", "text")
-        old = table(spark, known).select("doc_id", "text") if known else batch.limit(0)
-        index = substring_dedup.FingerprintIndex(spark, index.path, 12, 6)  # as a new job would open it
-        spans += [(r["doc_id"], r["first_word"], r["end_word"], r["owner"]) for r in index.add(batch, old).collect()]
-        known += rows
-    assert sorted(spans) == brute_repeats(texts, 12)
-    assert index.runs("fp") == [(0, 3), (4, 4)]
+        batch = spark.createDataFrame([(name(i), " ".join(w)) for i, w in texts.items() if i // 10 == b], f"doc_id {kind}, text string")
+        spans += [tuple(r) for r in substring_dedup.repeated_passages(batch, window=12, gram=6, batches=1, index=path).collect()]
+        for r in spark.catalog.listTables():  # a new job's session knows no tables
+            if r.name.startswith("arcloom_"):
+                spark.sql(f"DROP TABLE {r.name}")
+    assert sorted(spans) == [(name(i), x, y, name(o)) for i, x, y, o in brute_repeats(texts, 12)]
+    index = substring_dedup.FingerprintIndex(spark, path, 12, 6)
+    for kind_ in substring_dedup.RUNS:
+        assert index.runs(kind_) == [(0, 3), (4, 4)]
+
+
+def test_a_batch_lost_half_way_is_done_again(spark, monkeypatch):
+    texts = repeating_corpus(10, 40, 12)
+    path = common.shared_dir(spark, "index")
+    half = [spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items() if i // 20 == b], "doc_id long, text string") for b in (0, 1)]
+    first = substring_dedup.repeated_passages(half[0], window=12, gram=6, batches=1, index=path).collect()
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.FingerprintIndex, "_islands", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substring_dedup.repeated_passages(half[1], window=12, gram=6, batches=1, index=path)
+    second = substring_dedup.repeated_passages(half[1], window=12, gram=6, batches=1, index=path).collect()
+    assert sorted(map(tuple, first + second)) == brute_repeats(texts, 12)
+
+
+def test_history_is_neither_shuffled_nor_sorted(spark):
+    texts = repeating_corpus(11, 30, 12)
+    index = substring_dedup.FingerprintIndex(spark, common.shared_dir(spark, "index"), 12, 6)
+    index.add(table(spark, [(i, " ".join(w), "a") for i, w in texts.items()]).select("doc_id", "text"))
+    new = spark.createDataFrame([(1, 100)], "fp long, doc_id long")
+    with index._planned():
+        plan = index._state(new, "bigint")._jdf.queryExecution().executedPlan().toString()
+        union = index._read("fp", (0, 0), "bigint").union(index._read("fp", (0, 0), "bigint")).groupBy("fp").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Bucketed: true" in plan
+    assert "Exchange" not in union
 
 
 def test_registered_batches_compact_and_index_the_last(spark, tmp_path, monkeypatch):
