@@ -72,10 +72,10 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     mark = kind == 0
     twice = np.zeros(len(data), bool)
     if len(data):
-        twice[1:] = mark[1:] & (data[1:] == data[:-1])
+        twice[1:] = mark[1:] & (data[1:] == data[:-1]) & (doc[1:] == doc[:-1])
     begin = off[w.doc] + w.start
     letters = np.maximum(share((kind == 3) | (kind == 4)), 1e-6)
-    capital = (kind[begin] == 3) & (kind[np.minimum(begin + 1, len(data) - 1)] == 3) if len(begin) else np.zeros(0, bool)
+    capital = (kind[begin] == 3) & (length > 1) & (kind[np.minimum(begin + 1, len(data) - 1)] == 3) if len(begin) else np.zeros(0, bool)
     by_word = lambda mask: np.bincount(w.doc[mask], minlength=n) / count
     return np.stack(
         [

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, hidden, mix, powers, words
+from .common import U64, Words, buffers, chunks, mix, powers, words
 from .labelled import fitted
 
 NGRAMS = (3, 4, 5)
@@ -302,7 +302,6 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     model = train(docs, labels, per_class)
     if model is None:
         return docs
-    (name,) = hidden(docs, "toxicity")
     box = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.threshold))
     at = docs.columns.index("text")
 
