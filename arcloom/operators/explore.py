@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,22 @@ def bucket_of(ontology: Ontology | None, label: str, name: str, kind: T.DataType
     return "facts" if isinstance(kind, (T.NumericType, T.BooleanType)) else "other"
 
 
+def is_id(c: Column, kind: T.DataType, id: str | int) -> Column:
+    """Whether a column of ids holds id, in either form: the literal takes the column's type, so the test reaches the scan."""
+    if isinstance(kind, T.StringType):
+        return c == F.lit(str(id))
+    if isinstance(kind, T.IntegralType):
+        text = str(id)
+        same = re.fullmatch(r"-?(0|[1-9]\d*)", text) and text != "-0" and abs(int(text)) < 1 << 63
+        return c == F.lit(int(text)).cast(kind) if same and _fits(int(text), kind) else F.lit(False)
+    return c.cast("string") == F.lit(str(id))
+
+
+def _fits(value: int, kind: T.DataType) -> bool:
+    bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind.simpleString(), 63)
+    return -(1 << bits) <= value < 1 << bits
+
+
 class Explorer:
     def __init__(self, engine: Engine, ontology: Ontology | None = None):
         self.engine, self.g, self.ontology = engine, engine.catalog, ontology
@@ -49,15 +66,26 @@ class Explorer:
         named = [p for p in t.props if p.endswith("_name")]
         return F.coalesce(*names, *[F.col(f"`{p}`").cast("string") for p in named[:1]], self._id(t))
 
-    def _rows(self, t: NodeTable) -> DataFrame:
+    def _named(self, t: NodeTable, id: str | int) -> Column:
+        """Whether a row of a node table has an id, its public or its stored one."""
+        here = is_id(F.col(f"`{t.key}`"), t.df.schema[t.key].dataType, id)
+        return here | is_id(F.col("`id`"), t.df.schema["id"].dataType, id) if "id" in t.props and t.key != "id" else here
+
+    def _rows(self, t: NodeTable, where: Column | None = None) -> DataFrame:
         """nid, id, type, name, props as JSON."""
         shown = [F.col(f"`{p}`") for p in t.props if not p.startswith("_")]
-        return t.df.select(
+        df = t.df if where is None else t.df.where(where)
+        return df.select(
             F.col(f"`{t.key}`").cast("string").alias("nid"), self._id(t).alias("id"), F.lit(t.label).alias("type"), self.name_column(t).alias("name"), F.to_json(F.struct(*shown)).alias("props")
         )
 
-    def _edge_ends(self, e: EdgeTable) -> DataFrame:
-        return e.df.select(
+    def _edge_ends(self, e: EdgeTable, at: str | None = None, id: str | int | None = None) -> DataFrame:
+        """The ends of all edges, or of those whose end at (source or target) is id."""
+        df = e.df
+        if at is not None:
+            end = getattr(e, at)
+            df = df.where(is_id(F.col(f"`{end}`"), df.schema[end].dataType, id))
+        return df.select(
             F.lit(e.rel).alias("rel"), F.lit(e.source_label).alias("src_type"), F.col(f"`{e.source}`").cast("string").alias("src"), F.lit(e.target_label).alias("dst_type"), F.col(f"`{e.target}`").cast("string").alias("dst")
         ).where("src is not null and dst is not null")
 
@@ -72,22 +100,20 @@ class Explorer:
         Relations are counts by type, direction and the other end's type,
         provenance left out.
         """
-        here = (F.col("id") == str(id)) | (F.col("nid") == str(id))  # the public id first, then the stored one
-        node = union_all([self._rows(t).where(here) for t in self._tables(label)]).orderBy((F.col("id") == str(id)).desc(), "type", "nid").limit(1)
-        rels = self.relation_summary(label=label, among=node)
-        listed = rels.groupBy(F.col("node_type").alias("__t"), F.col("node").alias("__n")).agg(
-            F.array_sort(F.collect_list(F.struct("rel", "direction", "other_type", "count"))).alias("relations")
-        )
-        out = node.join(listed, (F.col("type") == F.col("__t")) & (F.col("nid") == F.col("__n")), "left").drop("__t", "__n")
-        ways = [e for e in self.g.find_edges(PROVENANCE, {label} if label else None, {SOURCE})]
+        # the public id first, then the stored one
+        found = union_all([self._rows(t, self._named(t, id)) for t in self._tables(label)]).orderBy((F.col("id") == str(id)).desc(), "type", "nid").limit(1).collect()
+        kinds = "nid string, id string, type string, name string, props string"
+        node = self.g.spark.createDataFrame(found, kinds)
+        nid, type_ = (found[0]["nid"], found[0]["type"]) if found else ("", "")
+        rels = self.relation_summary(nid, type_)
+        listed = rels.agg(F.array_sort(F.collect_list(F.struct("rel", "direction", "other_type", "count"))).alias("relations"))
+        ways = [self._edge_ends(e, "source", nid) for e in self.g.find_edges(PROVENANCE, {type_}, {SOURCE})]
         if ways:
-            ends = union_all([self._edge_ends(e) for e in ways])
-            found = ends.groupBy(F.col("src_type").alias("__t"), F.col("src").alias("__n")).agg(F.array_sort(F.collect_set("dst")).alias("sources"))
-            out = out.join(found, (F.col("type") == F.col("__t")) & (F.col("nid") == F.col("__n")), "left").drop("__t", "__n")
+            sources = union_all(ways).agg(F.array_sort(F.collect_set("dst")).alias("sources"))
         else:
-            out = out.withColumn("sources", F.lit(None).cast("array<string>"))
-        empty = F.array().cast("array<string>")
-        return out.select("id", "type", "name", "props", F.coalesce("sources", empty).alias("sources"), "relations")
+            sources = self.g.spark.range(1).select(F.array().cast("array<string>").alias("sources"))
+        # one row each
+        return node.join(listed, how="cross").join(sources, how="cross").select("id", "type", "name", "props", "sources", "relations")
 
     def relation_summary(self, id: str | int | None = None, label: str | None = None, among: DataFrame | None = None) -> DataFrame:
         """(node_type, node, rel, direction, other_type, count) of one node, of few (type, nid), or of all."""
@@ -95,16 +121,13 @@ class Explorer:
         for e in self.g.edges:
             if e.rel in PROVENANCE:
                 continue
-            ends = self._edge_ends(e)
-            if label in (None, e.source_label):
-                frames.append(ends.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "rel", F.lit("out").alias("direction"), F.col("dst_type").alias("other_type")))
-            if label in (None, e.target_label):
-                frames.append(ends.select(F.col("dst_type").alias("node_type"), F.col("dst").alias("node"), "rel", F.lit("in").alias("direction"), F.col("src_type").alias("other_type")))
+            for end, mine, other, here, way in (("source", "src", "dst", e.source_label, "out"), ("target", "dst", "src", e.target_label, "in")):
+                if label in (None, here):
+                    ends = self._edge_ends(e) if id is None else self._edge_ends(e, end, id)
+                    frames.append(ends.select(F.col(f"{mine}_type").alias("node_type"), F.col(mine).alias("node"), "rel", F.lit(way).alias("direction"), F.col(f"{other}_type").alias("other_type")))
         if not frames:
             return self.g.spark.createDataFrame([], "node_type string, node string, rel string, direction string, other_type string, count long")
         both = union_all(frames)
-        if id is not None:
-            both = both.where(F.col("node") == str(id))
         if among is not None:
             few = among.select(F.col("type").alias("node_type"), F.col("nid").alias("node"))
             both = both.join(few, ["node_type", "node"], "left_semi")
@@ -114,11 +137,10 @@ class Explorer:
         """(rel, direction, type, id, name, props) one edge away, by rel and id; one row more than limit tells that there are more."""
         frames = []
         for e in self.g.find_edges(rels or [], None, None):
-            ends = self._edge_ends(e)
-            for way, here, there, mine, other in (("out", e.source_label, e.target_label, "src", "dst"), ("in", e.target_label, e.source_label, "dst", "src")):
+            for way, here, there, mine, other in (("out", e.source_label, e.target_label, "source", "dst"), ("in", e.target_label, e.source_label, "target", "src")):
                 if here != label or direction not in (None, way) or target not in (None, there) or there not in self.g.nodes:
                     continue
-                ids = ends.where(F.col(mine) == str(id)).select("rel", F.lit(way).alias("direction"), F.col(other).alias("nid"))
+                ids = self._edge_ends(e, mine, id).select("rel", F.lit(way).alias("direction"), F.col(other).alias("nid"))
                 frames.append(ids.join(self._rows(self.g.nodes[there]), "nid").select("rel", "direction", "type", "id", "name", "props"))
         if not frames:
             return self.g.spark.createDataFrame([], "rel string, direction string, type string, id string, name string, props string")
@@ -129,9 +151,27 @@ class Explorer:
 
     def overview(self) -> DataFrame:
         """(kind, name, count): node types without sources and chunks, relations without provenance, and totals."""
-        nodes = [t.df.agg(F.count("*").alias("count")).select(F.lit("type").alias("kind"), F.lit(t.label).alias("name"), "count") for x, t in sorted(self.g.nodes.items()) if x not in (SOURCE, CHUNK)]
-        rels = [self._edge_ends(e).agg(F.count("*").alias("count")).select(F.lit("relation").alias("kind"), F.lit(e.rel).alias("name"), "count") for e in self.g.edges if e.rel not in PROVENANCE]
-        both = union_all(nodes + rels).groupBy("kind", "name").agg(F.sum("count").alias("count"))
+        # all that lies in one table is counted in one pass over it
+        passes: list[tuple[DataFrame, list[tuple[str, str, Column]]]] = []
+
+        def add(df: DataFrame, kind: str, name: str, condition: Column) -> None:
+            mine = next((p for p in passes if p[0].sameSemantics(df)), None)
+            if mine is None:
+                mine = (df, [])
+                passes.append(mine)
+            mine[1].append((kind, name, condition))
+
+        for x, t in sorted(self.g.nodes.items()):
+            if x not in (SOURCE, CHUNK):
+                add(t.df, "type", t.label, F.lit(True))
+        for e in self.g.edges:
+            if e.rel not in PROVENANCE:
+                add(e.df, "relation", e.rel, F.col(f"`{e.source}`").isNotNull() & F.col(f"`{e.target}`").isNotNull())
+        frames = []
+        for df, counted in passes:
+            row = df.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, (_, _, c) in enumerate(counted)])
+            frames.append(row.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(f"n{i}").alias("count")) for i, (kind, name, _) in enumerate(counted)])).alias("r")).select("r.*"))
+        both = union_all(frames).groupBy("kind", "name").agg(F.sum("count").alias("count"))
         totals = both.groupBy(F.lit("total").alias("kind"), F.col("kind").alias("name")).agg(F.sum("count").alias("count"))
         return both.unionByName(totals)
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +47,17 @@ class Reranker(Protocol):
     def score(self, df: DataFrame, query: str) -> DataFrame: ...
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(word: str) -> int:
+    return int.from_bytes(md5(word.encode()).digest()[:4], "big")
+
+
 class HashingEmbedder:
-    """Words hashed into signed places of a unit vector: the same text always gives the same vector, on any machine."""
+    """Words hashed into signed places of a unit vector: the same text always gives the same vector, on any machine.
+
+    A word's hash is the first 32 bits of its MD5; its place is the hash modulo
+    dim, its sign that of bit 16.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -55,7 +66,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for word in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(word.encode())
+                h = _place(word)
                 out[i, h % self.dim] += 1.0 if (h >> 16) & 1 else -1.0
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=out, where=size > 0)
@@ -97,17 +108,76 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, threshold: float | N
     return _best(scored, k)
 
 
+#: Bytes of query vectors that are sent to every task at once; more queries are asked in parts.
+QUERY_BYTES = 64 << 20
+
+
 def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """(qid, nid, score) for each row of queries (qid, qvec): few queries against many vectors.
+    """(qid, nid, score) for each row of queries (qid, qvec): the k nearest of vectors (nid, vec) by cosine.
 
-    The queries are replicated to the vectors by a nested-loop join; Spark
-    broadcasts them while they are small.  Every task keeps its k best.
+    The queries are those of a request. They are sent as a matrix, QUERY_BYTES at
+    once; a task multiplies its batches with it and keeps the k best of each
+    query, so no row pairs are made and only short lists are moved. Vectors of
+    another dimension are not near anything; ties go to the smaller nid.
     """
-    pairs = vectors.where("vec is not null").crossJoin(queries).select("qid", "nid", cosine(F.col("vec"), F.col("qvec")).alias("score"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") >= threshold)
+    spark = queries.sparkSession
+    asked = queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0)).alias("n")).first()["n"] * 8
+    parts = max(1, -(-size // QUERY_BYTES))
+    source = vectors.where("vec is not null").select("nid", F.col("vec").cast("array<double>").alias("vec"))
+    kinds = f"qid long, nid {source.schema['nid'].dataType.simpleString()}, score double"
+    found = None
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()  # at most QUERY_BYTES
+        by_dim: dict[int, list] = {}
+        for i, r in enumerate(rows):
+            by_dim.setdefault(len(r["qvec"]), []).append(i)
+        box = spark.sparkContext.broadcast({d: (np.array(at), _units(np.array([rows[i]["qvec"] for i in at], float).reshape(len(at), d))) for d, at in by_dim.items()})
+        lists = source.mapInArrow(_nearest(box, k, threshold), kinds)
+        names = spark.createDataFrame([(i, r["qid"]) for i, r in enumerate(rows)], f"number long, name {queries.schema['qid'].dataType.simpleString()}")
+        named = lists.join(names, lists["qid"] == names["number"]).select(F.col("name").alias("qid"), "nid", "score")
+        found = named if found is None else found.union(named)
     rank = Window.partitionBy("qid").orderBy(F.desc("score"), "nid")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _nearest(box, k: int, threshold: float | None):
+    """Columns nid, vec: each task's k best (number of the query, nid, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            size = np.asarray(batch.column(1).value_lengths())
+            parts = [] if best is None else [best]
+            for dim, (numbers, q) in box.value.items():
+                mine = pa.array(np.flatnonzero(size == dim))
+                if not len(mine):
+                    continue
+                nids, vecs = batch.column(0).take(mine), batch.column(1).take(mine).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), dim)
+                # rounded far below what a score means, so that equal vectors tie whatever the order of summing
+                score = np.round(q @ _units(vecs).T, 12)
+                score = np.where(np.isnan(score), -np.inf, score)
+                if score.shape[1] > k:
+                    row, col = np.nonzero(score >= np.partition(score, score.shape[1] - k, axis=1)[:, [score.shape[1] - k]])
+                else:
+                    row, col = np.nonzero(score > -np.inf)
+                s = score[row, col]
+                keep = s > -np.inf if threshold is None else s >= threshold
+                parts.append(pa.table({"qid": numbers[row[keep]], "nid": nids.take(pa.array(col[keep])), "score": s[keep]}))
+            if not parts:
+                continue
+            both = pa.concat_tables(parts).sort_by([("qid", "ascending"), ("score", "descending"), ("nid", "ascending")])
+            number = both.column("qid").to_numpy()
+            best = both.filter(pa.array(np.arange(len(number)) - np.searchsorted(number, number) < k))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    return run
 
 
 def tokens(c: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -295,14 +295,21 @@ class Compiler:
         return df
 
     def _many(self, hop: Hop, source: Binding, far: set[str] | None, edge_alias: str, depth: tuple[int, int], group: list[str]) -> DataFrame:
-        """Paths of min..max edges, none twice; one join per step, and a last one to the target."""
+        """Paths of min..max edges, none twice: one join per step, and a last one to the target.
+
+        A path that is long enough goes on in two rows: one stays as it is and
+        passes the further joins, the other must find an edge, so no step is
+        planned twice. Paths hold edges' numbers only, unless the list of
+        edges itself is asked for.
+        """
         variants = self.variants(hop, None, None)
         target = hop.target.alias
         if not variants:
             return self._nothing(hop, edge_alias, "left" if hop.optional else "inner")
         labels = {x for e, _ in variants for x in (e.source_label, e.target_label)}
         rows = self.edge_rows(variants, hop.direction == "both", self._id_kind(variants))
-        rows = rows.select("__near", "__near_label", "__far", "__far_label", F.col("__edge").alias("__step"))
+        step = F.col("__edge") if self._shown(edge_alias) else F.struct(F.col("__edge.eid").alias("eid"), F.col("__edge.tab").alias("tab"))
+        rows = rows.select("__near", "__near_label", "__far", "__far_label", step.alias("__step"))
         here = F.col(_q(hop.source))
         step_kind = rows.schema["__step"].dataType.simpleString()
         one_label = len(labels) == 1
@@ -316,14 +323,10 @@ class Compiler:
         kind = rows.schema["__near"].dataType.simpleString()
         cur = cur.withColumn("__at", F.col("__at").cast(kind))
         tables = [e for e, _ in variants]
-        found = []
+        path, go = F.col(_q(edge_alias)), F.col("__go")
         for k in range(1, depth[1] + 1):
-            on = F.col("__at") == F.col("__near")
-            if not one_label:
-                on = on & (F.col("__at_label") == F.col("__near_label"))
-            nxt = cur.join(rows, on)
-            if k > 1:
-                nxt = nxt.where(~_holds(F.col(_q(edge_alias)), F.col("__step.eid"), F.col("__step.tab")))
+            used = _holds(path, F.col("__step.eid"), F.col("__step.tab"))
+            fresh = F.lit(True) if k == 1 else ~used
             if not hop.optional:
                 for other in group:
                     if group_overlaps(self, [other], tables):
@@ -333,12 +336,25 @@ class Compiler:
                             if self.bound[other].many
                             else (o["eid"] == F.col("__step.eid")) & (o["tab"] == F.col("__step.tab"))
                         )
-                        nxt = nxt.where(~F.coalesce(same, F.lit(False)))
-            nxt = nxt.withColumn(edge_alias, F.concat(F.col(_q(edge_alias)), F.array("__step")))
-            cur = nxt.withColumns({"__at": F.col("__far"), "__at_label": F.col("__far_label")}).drop("__near", "__near_label", "__far", "__far_label", "__step")
-            if k >= depth[0]:
-                found.append(cur)
-        paths = union_all(found)
+                        fresh = fresh & ~F.coalesce(same, F.lit(False))
+            longer = {
+                edge_alias: F.concat(path, F.array("__step")), "__at": F.col("__far"), "__at_label": F.col("__far_label"),
+            }
+            if k - 1 < depth[0]:  # too short to stay
+                on = F.col("__at") == F.col("__near")
+                if not one_label:
+                    on = on & (F.col("__at_label") == F.col("__near_label"))
+                nxt = cur.join(rows, on).where(fresh).withColumns(longer)
+            else:
+                ways = F.when(F.size(path) == k - 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+                cur = cur.withColumn("__go", F.explode(ways))
+                on = F.when(go, F.col("__at")) == F.col("__near")
+                if not one_label:
+                    on = on & (F.col("__at_label") == F.col("__near_label"))
+                nxt = cur.join(rows, on, "left").where(~go | (F.col("__near").isNotNull() & fresh))
+                nxt = nxt.withColumns({c: F.when(go, x).otherwise(F.col(_q(c))) for c, x in longer.items()}).drop("__go")
+            cur = nxt.drop("__near", "__near_label", "__far", "__far_label", "__step")
+        paths = cur
         nodes = self.scan(target, hop.target.label, labels)
         node = F.col(_q(target))
         on = _same(F.col("__at"), rows.schema["__near"].dataType, node["nid"], nodes.schema[target].dataType["nid"].dataType)
@@ -351,6 +367,11 @@ class Compiler:
             return self.df.join(done, (here["nid"] == F.col("__from")) & (here["label"] == F.col("__from_label")), "left").drop("__from", "__from_label")
         return done
 
+    def _shown(self, edge_alias: str) -> bool:
+        """Whether the edges of a path are looked at, beyond being counted."""
+        refs = [r.field for r in self.q.returns if r.aggregate != "count"] + [x.field for part in (self.q.filters, self.q.group_by, self.q.sort) for x in part]
+        return any(ref.partition(".")[0] == edge_alias for ref in refs)
+
     # --- filters -------------------------------------------------------------
 
     def predicate(self, f: Filter) -> Column:
@@ -456,10 +477,11 @@ class Compiler:
     def _keep_outer(self, before: DataFrame, h: Hop, own: list[Filter]) -> None:
         """The literal reading: filters on an optional target belong to its pattern, and the outer row stays."""
         ok = reduce(lambda a, b: a & b, [F.coalesce(self.predicate(f), F.lit(False)) for f in own])
-        ids = [F.col(_q(a))["nid"].alias(f"__k_{a}") for a in self.bound if self.bound[a].node and a in before.columns]
+        known = [a for a in self.bound if self.bound[a].node and a in before.columns]
+        ids = [F.col(_q(a))[f].alias(f"__k_{f}_{a}") for a in known for f in ("label", "nid")]
         good = self.df.where(ok)
         keys = good.select(*ids).distinct()
-        on = reduce(lambda a, b: a & b, [F.col(_q(a))["nid"].eqNullSafe(F.col(f"__k_{a}")) for a in self.bound if self.bound[a].node and a in before.columns])
+        on = reduce(lambda a, b: a & b, [F.col(_q(a))[f].eqNullSafe(F.col(f"__k_{f}_{a}")) for a in known for f in ("nid", "label")])
         rest = before.join(keys, on, "left_anti")
         self.df = good.unionByName(rest, allowMissingColumns=True)
 
@@ -468,13 +490,26 @@ class Compiler:
         if alias not in pins:
             return
         p = pins[alias]
-        label = next(iter(sorted(self.bound[alias].labels or ())), "")
-        index = self.indexes.get(label)
-        if index is None:
-            raise LoweringError(f"label {label!r} has no text index")
-        name = f"__score_{alias}"
-        hits = index.retrieve(p, self.s).select(F.col("nid").alias("__hit"), F.col("score").alias(name))
-        self.df = self.df.join(hits, F.col(_q(alias))["nid"] == F.col("__hit"), "inner").drop("__hit")
+        labels = sorted(self.bound[alias].labels or ())
+        indexed = [x for x in labels if x in self.indexes]
+        if not indexed:
+            raise LoweringError(f"no text index for {', '.join(labels)}")
+        name, node = f"__score_{alias}", F.col(_q(alias))
+        nid_kind = self.df.schema[alias].dataType["nid"].dataType
+        frames = []
+        for label in indexed:
+            hits = self.indexes[label].retrieve(p, self.s)
+            nid = F.col("nid") if len(indexed) == 1 else F.col("nid").cast("string")
+            frames.append(hits.select(nid.alias("__hit"), F.lit(label).alias("__hit_label"), F.col("score").alias(name)))
+        hits = union_all(frames)
+        on = _same(node["nid"], nid_kind, F.col("__hit"), hits.schema["__hit"].dataType)
+        if len(labels) > 1:
+            on = on & (node["label"] == F.col("__hit_label"))
+        self.df = self.df.join(hits, on, "inner").drop("__hit", "__hit_label")
+        if not self.s.grounding:  # what the fallback finds must still hold word for word where it is asked to be equal
+            for f in p.exact:
+                c, kind = self.column(f.field)
+                self.df = self.df.where(plain_predicate(c, kind, "eq", f.value))
         self.scores.append(name)
 
     # --- results -------------------------------------------------------------
@@ -619,15 +654,21 @@ class Compiler:
             return
         df = self.df
         for a in keep:
-            carried[a] = self.identity(a).alias(f"__c_{a}")
+            b = self.bound[a]
+            node = F.col(_q(a))
+            # ids are unique within a label or an edge table only
+            carried[a] = (node if b.many else F.struct(node["label"], node["nid"]) if b.node else F.struct(node["tab"], node["eid"])).alias(f"__c_{a}")
         lists = []
+        t = self.g.nodes[SOURCE]
+        name = "name" if "name" in t.props else t.key
         for i, (a, e) in enumerate(ways):
-            t = self.g.nodes[SOURCE]
-            name = "name" if "name" in t.props else t.key
             pairs = e.df.select(F.col(_q(e.source)).alias(f"__p{i}"), F.col(_q(e.target)).alias("__t"))
             named = pairs.join(t.df.select(F.col(_q(t.key)).alias("__k"), F.col(_q(name)).cast("string").alias("__name")), F.col("__t") == F.col("__k"))
             each = named.groupBy(f"__p{i}").agg(F.collect_set("__name").alias(f"__l{i}"))
-            df = df.join(each, F.col(_q(a))["nid"] == F.col(f"__p{i}"), "left").drop(f"__p{i}")
+            on = _same(F.col(_q(a))["nid"], df.schema[a].dataType["nid"].dataType, F.col(f"__p{i}"), each.schema[f"__p{i}"].dataType)
+            if len(self.bound[a].labels or ()) != 1:
+                on = on & (F.col(_q(a))["label"] == e.source_label)
+            df = df.join(each, on, "left").drop(f"__p{i}")
             lists.append(F.coalesce(F.col(f"__l{i}"), F.array().cast("array<string>")))
         sources = F.array_sort(F.array_distinct(F.concat(*lists)))
         df = df.withColumn("__sources", sources).drop(*[f"__l{i}" for i in range(len(ways))])

@@ -411,7 +411,7 @@ class Settings:
 
     max_depth: int = 6
     max_limit: int | None = 5000
-    auto_sources: bool = False
+    auto_sources: bool = True
     strict_optional_where: bool = False
     search_threshold: float = 0.8
     search_k: int = 40

@@ -28,6 +28,8 @@ class TextPredicate:
     lexical: bool
     one: bool
     rerank: bool
+    #: Filters that hold word for word once a search without grounding has found its rows.
+    exact: tuple[Filter, ...] = ()
 
 
 def _value(f: Filter) -> str:
@@ -73,7 +75,8 @@ def fold_text(q: Query, registry: Registry, types: Mapping[tuple[str, str], str]
             query = "\n".join([f"type: {labels[alias]}", *lines])
         hints = {f.cardinality for f in fs if f.cardinality}
         one = hints == {"one"} if hints else all(op == "eq" for op in ops)
-        out.append(TextPredicate(alias, query, lexical, one, "search_reranked" in ops))
+        exact = tuple(f for f, op in zip(fs, ops) if op == "eq" and "." in f.field)
+        out.append(TextPredicate(alias, query, lexical, one, "search_reranked" in ops, exact))
     return out, plain
 
 

@@ -23,7 +23,7 @@ _SQL: dict[str, str] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str, types: dict | None = None, **settings: Any) -> Engine:
-    return Engine(table_graph(spark, sf_dir), Settings(**({"max_limit": None} | settings)), types=types)
+    return Engine(table_graph(spark, sf_dir), Settings(**({"max_limit": None, "auto_sources": False} | settings)), types=types)
 
 
 def doc(name: str, document: dict, sql: str, types: dict | None = None, **settings: Any) -> None:

@@ -208,7 +208,7 @@ def enum_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tenant_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     g = GraphCatalog(spark).add_node("Customer", c.withColumn("labels", F.array(F.lit("Customer"), F.col("c_mktsegment"))), "c_custkey", labels="labels")
-    return Engine(g, Settings(max_limit=None)).plan(q(n("Customer", "c"), returns=[ret("c.c_custkey", "id")], prefix_label="BUILDING"))
+    return Engine(g, Settings(max_limit=None, auto_sources=False)).plan(q(n("Customer", "c"), returns=[ret("c.c_custkey", "id")], prefix_label="BUILDING"))
 
 
 @query("filter_tree", "SELECT p_partkey AS id FROM part WHERE (p_size < 5 OR starts_with(p_brand, 'Brand#1')) AND NOT (p_retailprice > 1200 AND p_size <> 3)")
@@ -217,4 +217,4 @@ def filter_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     where = AllOf((AnyOf((Filter("p.p_size", "lt", 5), Filter("p.p_brand", "starts_with", "Brand#1"))), Not(AllOf((Filter("p.p_retailprice", "gt", 1200), Filter("p.p_size", "neq", 3))))))
     base = parse(q(n("Part", "p"), returns=[ret("p.p_partkey", "id")]))
-    return Engine(table_graph(spark, sf_dir), Settings(max_limit=None)).plan(replace(base, where=where))
+    return Engine(table_graph(spark, sf_dir), Settings(max_limit=None, auto_sources=False)).plan(replace(base, where=where))
