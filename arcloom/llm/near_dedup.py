@@ -6,7 +6,7 @@
 2. Equal texts (equal word sequences, 128-bit) are one vertex from here on.
 3. Registers, with empty ones filled from others by a fixed probe order, are
    cut into bands; in a bucket of a band every document is first paired with the
-   smallest and with the one before it, so a bucket of n gives under 2n pairs.
+   smallest and the largest one, so a bucket of n gives under 2n pairs.
 4. A pair's Jaccard index is estimated from the share of equal registers less
    the collisions expected of two sets of these sizes, and dropped only if it
    is three standard errors under the threshold.
@@ -16,11 +16,17 @@
 6. Verified pairs are closed to groups, named by their smallest doc_id. Then all
    other pairs of a bucket that lie in two groups, or in none, go through 4 and 5
    too, without a cap: copies that are like their original alone are found from
-   any place in a bucket. Pairs grow with the square of a bucket's groups only.
+   any place in a bucket. A bucket is first brought down to its groups, so pairs
+   within a group are never made: pairs grow with the square of a bucket's
+   groups only.
+
+Nothing sorts or holds a bucket in one task: buckets are brought down by
+aggregates and met by joins, which can be split where a key is hot.
 
 Defined cases: null doc_id, null text and text without a word belong to no
 group. Rows that repeat a doc_id are one document. Texts shorter than a shingle
-are compared whole. Ties go to the smaller doc_id. Extra columns are ignored by
+are compared whole. Ties go to the smaller doc_id, which may be of any type that
+can be ordered. Extra columns are ignored by
 the search and kept, whatever their names, by `deduplicate`. Empty tables give
 empty tables.
 """
@@ -31,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, checkpointed, chunks, hidden, mix, powers, shingles, signed, words, written
+from .common import U64, buffers, checkpointed, chunks, hidden, keyed, mix, powers, shingles, signed, words, written
 from .components import components
 
 M_BITS = 7
@@ -228,25 +234,35 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
 
-def _untried(sigs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b): all pairs of a bucket whose documents are of different groups, a group-less one being its own."""
+def _untried(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b): all pairs of buckets (key, doc_id) whose documents are of different groups, a group-less one being its own."""
     if labels is None:
-        grouped = sigs.select("doc_id", "sig", F.col("doc_id").alias("label"))
+        grouped = buckets.withColumn("label", F.col("doc_id"))
     else:
-        grouped = sigs.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("doc_id", "sig", F.coalesce("label", "doc_id").alias("label"))
-    bucket = Window.partitionBy("key")
-    mixed = written(
-        grouped.mapInArrow(_bands, "key long, doc_id long, label long")
-        .withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)})
-        .where("low <> high").select("key", "doc_id", "label"),
-        "buckets",
-    )
-    both = mixed.toDF("key", "a", "la").join(mixed.toDF("key", "b", "lb").hint("merge"), "key")
-    return both.where("a < b and la <> lb").select("a", "b").distinct()
+        grouped = buckets.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    grouped = written(grouped, "grouped")
+    several = grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = written(grouped.join(several.hint("merge"), "key"), "mixed")
+    groups = mixed.select("key", "label").distinct()
+    met = groups.toDF("key", "la").join(groups.toDF("key", "lb").hint("merge"), "key").where("la < lb")
+    one = mixed.toDF("key", "a", "la").join(met.hint("merge"), ["key", "la"])
+    both = one.join(mixed.toDF("key", "b", "lb").hint("merge"), ["key", "lb"])
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined_up(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (node, label) with the groups that the pairs found tie together; only the groups they touch are walked."""
+    if labels is None:
+        return checkpointed(components(found))
+    la, lb = labels.toDF("a", "ga"), labels.toDF("b", "gb")
+    ties = found.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+    new = checkpointed(components(ties))
+    moved = labels.join(new.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return checkpointed(moved.union(new.join(labels.select("node"), "node", "left_anti").select("node", "label")))
 
 
-def _closed(open_: DataFrame, sets: DataFrame, proven: DataFrame, labels: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """proven with the pairs of open_ (a, b, est) that verification adds, and the groups (node, label) of all."""
+def _closed(open_: DataFrame, sets: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame | None:
+    """The groups (node, label), with what verification adds from the pairs open_ (a, b, est)."""
     for turn in range(3):  # the best pair between two groups, again, then all that is left
         if labels is not None:
             la, lb = labels.toDF("a", "ga"), labels.toDF("b", "gb")
@@ -258,55 +274,50 @@ def _closed(open_: DataFrame, sets: DataFrame, proven: DataFrame, labels: DataFr
             open_ = open_.withColumns({"ga": F.col("a"), "gb": F.col("b")})
         if turn < 2:
             # turn 0: every document, or group, tries its likeliest partner
-            by = [F.col("gb")] if turn == 0 else [F.least("ga", "gb"), F.greatest("ga", "gb")]
-            best = Window.partitionBy(*by).orderBy(F.desc("est"), "a", "b")
-            now = checkpointed(open_.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"))
+            by = [F.col("gb").alias("g")] if turn == 0 else [F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")]
+            best = F.max(F.struct("est", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("best")
+            now = checkpointed(open_.groupBy(*by).agg(best).select((-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b")))
             open_ = open_.select("a", "b", "est").join(now, ["a", "b"], "left_anti")
         else:
             now = open_.select("a", "b")
         if now.isEmpty():
             break
-        found = (
+        found = checkpointed(
             now.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
             .mapInArrow(_verify(threshold), "a long, b long").distinct()
         )
-        found = checkpointed(found)
         if not found.isEmpty():
-            proven = checkpointed(proven.union(found))
-            labels = checkpointed(components(proven))
-    return proven, labels
+            labels = _joined_up(labels, found)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the smallest doc_id of its group."""
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    signed_ = base.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, n long, sig binary")
-    same = Window.partitionBy("c1", "c2")
+    base, back = keyed(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
+    signs = written(base.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, n long, sig binary"), "signatures")
+    same = signs.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")).hint("merge")
     vertices = written(
-        signed_.withColumn("rep", F.min("doc_id").over(same)).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
+        signs.join(same, ["c1", "c2"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")),
         "vertices",
     )
     sigs = vertices.where("sig is not null").select("doc_id", "n", "sig")
-    bucket = Window.partitionBy("key").orderBy("doc_id")
+    banded = sigs.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
+    ends = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").hint("merge")
+    buckets = written(banded.join(ends, "key").select("key", "doc_id", "least", "most").distinct(), "buckets")
     pairs = (
-        sigs.select("doc_id", "sig").mapInArrow(_bands, "key long, doc_id long")
-        .select("doc_id", F.first("doc_id").over(bucket).alias("least"), F.lag("doc_id").over(bucket).alias("before"))
-        .where("least <> doc_id")
-        .select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col("doc_id").alias("b"))
-        .where("a <> b").distinct()
+        buckets.select("doc_id", F.explode(F.array("least", "most")).alias("end")).where("end <> doc_id")
+        .select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
     )
     estimated = _estimated(pairs, sigs, threshold)
     wanted = _ends(estimated)
     # the texts meet their ids in a shuffle at every size: the ids grow with the corpus, so they are never broadcast
     sets = written(base.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
-    proven, labels = _closed(estimated, sets, spark.createDataFrame([], "a long, b long"), None, threshold)
-    rest = _estimated(_untried(sigs, labels), sigs, threshold).join(estimated.select("a", "b"), ["a", "b"], "left_anti")
-    rest = checkpointed(rest)
+    labels = _closed(estimated, sets, None, threshold)
+    rest = _estimated(_untried(buckets.select("key", "doc_id"), labels).join(pairs, ["a", "b"], "left_anti"), sigs, threshold)
     if not rest.isEmpty():
         more = base.join(_ends(rest).join(wanted, "doc_id", "left_anti").hint("merge"), "doc_id", "left_semi")
         sets = sets.union(written(more.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles"))
-        proven, labels = _closed(rest, sets, proven, labels, threshold)
+        labels = _closed(rest, sets, labels, threshold)
     groups = vertices.select("doc_id", "rep")
     if labels is not None:
         groups = groups.join(labels.toDF("rep", "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
@@ -318,7 +329,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     else:
         ties = groups.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         pairs_ = components(ties).toDF("doc_id", "group_id").where("doc_id <> group_id")
-    return pairs_.union(pairs_.select(F.col("group_id"), "group_id").distinct())
+    return back(pairs_.union(pairs_.select(F.col("group_id"), "group_id").distinct()), "doc_id", "group_id")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,13 +340,13 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     groups = near_duplicates(docs, threshold)
     drop = checkpointed(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")))
-    (n, at) = hidden(docs, "rows_of_id", "row_of_id")
-    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["gone"], "left_anti")
+    n, at, row = hidden(docs, "rows_of_id", "row_of_id", "row")
+    kept = docs.join(drop, docs["doc_id"] == drop["gone"], "left_anti")
     again = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n)).where(F.col(n) > 1).select(F.col("doc_id").alias(at)))
     if again.isEmpty():
         return kept
-    one = kept.join(again, kept["doc_id"] == again[at], "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(f"`{c}`").cast("string") for c in others])
-    one = one.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text").isNull(), F.col("text"), *others)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, kept["doc_id"] == again[at], "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
     return kept.join(again, kept["doc_id"] == again[at], "left_anti").unionByName(one)
