@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import CHUNK, PROVENANCE, SOURCE, GraphCatalog
 from ..sources.graph_json import CANONICAL, Graph, to_frames
+from ..sources.vectors import VectorStore, collection
 
 NODE_SCHEMA = "nid long, type string, key_field string, key string, labels array<string>, props map<string,string>"
 EDGE_SCHEMA = "eid long, rel string, src long, dst long, props map<string,string>"
@@ -56,8 +58,10 @@ def doomed(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, path: str, prefix_label: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, prefix_label: str | None = None, vectors: VectorStore | None = None, text_fields: Mapping[str, Sequence[str]] | None = None, prefix_index: str | None = None):
+        """vectors: where the texts of ingested nodes are embedded and indexed, under prefix_index; text_fields: a type's text properties, beside its canonical text and the text of chunks."""
         self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix_label
+        self.vectors, self.text_fields, self.prefix_index = vectors, dict(text_fields or {}), prefix_index
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -117,11 +121,26 @@ class GraphStore:
         edges = self.merge_edges(old_edges, nodes, entities, relations)
         edges.write.mode("overwrite").parquet(f"{self.path}/v{v}/edges")
         edges = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.path}/v{v}/edges")
+        if self.vectors is not None:
+            self.embed(nodes.join(entities.select("type", "key_field", "key").distinct(), ["type", "key_field", "key"], "left_semi"))
         counts = (before.count(), old_edges.count())
         self._commit(v)
         n, m = nodes.count(), edges.count()
         return IngestSummary(n, m, n - counts[0], m - counts[1], int((time.time() - began) * 1000), report)
 
+    def embed(self, nodes: DataFrame) -> None:
+        """Puts the texts of nodes into their collections; texts that are there already are not embedded again."""
+        fields = {CANONICAL: None, "text": [CHUNK]}
+        for type_, names in self.text_fields.items():
+            for name in names:
+                fields[name] = sorted({*(fields.get(name) or []), type_})
+        for name, types in fields.items():
+            value = json_text(F.col("props")[name])
+            mine = nodes.where(F.col("type") != CHUNK) if types is None else nodes.where(F.col("type").isin(types))
+            rows = mine.select("nid", F.col("type").alias("label"), value.alias("text")).where("text is not null and text <> ''")
+            if not rows.isEmpty():
+                self.vectors.upsert(collection(name, "", self.prefix_index), rows)
+
     def merge_nodes(self, old: DataFrame, entities: DataFrame) -> DataFrame:
         """old nodes with entities over them: one row per (type, key field, key), ids of old rows kept."""
         order = Window.partitionBy("type", "key_field", "key").orderBy("idx")
@@ -177,6 +196,8 @@ class GraphStore:
             return {}, vectors
         ids = gone.select("nid").distinct()
         left_vectors = vectors.join(ids, "nid", "left_anti") if vectors is not None else None
+        if self.vectors is not None:
+            self.vectors.sweep(ids)
         edges = self.edges().join(ids.select(F.col("nid").alias("src")), "src", "left_anti").join(ids.select(F.col("nid").alias("dst")), "dst", "left_anti")
         self._write(self.nodes().join(ids, "nid", "left_anti"), edges.select("eid", "rel", "src", "dst", "props"))
         return counts, left_vectors
@@ -242,6 +263,11 @@ def _kind_name(v: Any, type_: str, name: str) -> str:
     return "Text"
 
 
+def json_text(value: Column) -> Column:
+    """The text that a JSON text holds."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
 def json_kind(value: Column) -> Column:
     """long, double, boolean, array, object, string or null of a JSON text, by its first character."""
     first = F.substring(F.trim(value), 1, 1)

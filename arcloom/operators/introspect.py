@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from ..sources.catalog import CHUNK, SOURCE, GraphCatalog
 from ..sources.ontology import Domain, Ontology, PropertySpec, TypeSpec
 
-SAMPLE = 100
 ENUM_CAP = 40
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}\Z")
 _DATETIME = re.compile(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
@@ -94,16 +93,26 @@ def _declared(kind: T.DataType) -> str | None:
     return None
 
 
-def _properties(df, names: list[str], sample: int, cap: int) -> list[LiveProperty]:
-    """Types from the schema, or from a sample for text; values of text properties that have few, in one aggregation."""
+def _properties(df, names: list[str], cap: int) -> list[LiveProperty]:
+    """Types from the schema, or of text from the form of all its values; values of text properties that have few."""
     names = [p for p in names if not p.startswith("_")]
     texts = [p for p in names if isinstance(df.schema[p].dataType, T.StringType)]
-    rows = df.select(*[F.col(f"`{p}`") for p in texts]).limit(sample).collect() if texts else []
     wanted = [p for p in texts if not _IDENTIFIER.search(p)]
     few: dict[str, list[str]] = {}
-    if wanted:
-        counts = df.agg(*[F.approx_count_distinct(F.col(f"`{p}`")).alias(str(i)) for i, p in enumerate(wanted)]).first()
-        likely = [p for i, p in enumerate(wanted) if 0 < counts[i] <= cap * 1.2]
+    forms: dict[str, str] = {}
+    if texts:
+        # one pass: which forms there are, and about how many values
+        aggs = []
+        for i, p in enumerate(texts):
+            c = F.col(f"`{p}`")
+            form = F.when(F.rlike(c, F.lit("^" + _DATETIME.pattern)), "Datetime").when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), "Date").when(c.isNotNull(), "String")
+            aggs += [F.min(form).alias(f"low{i}"), F.max(form).alias(f"high{i}")]
+            if p in wanted:
+                aggs.append(F.approx_count_distinct(c).alias(f"n{i}"))
+        seen = df.agg(*aggs).first()
+        for i, p in enumerate(texts):
+            forms[p] = seen[f"low{i}"] if seen[f"low{i}"] == seen[f"high{i}"] and seen[f"low{i}"] else "String"
+        likely = [p for i, p in enumerate(texts) if p in wanted and 0 < seen[f"n{i}"] <= cap * 1.2]
         if likely:
             # text of many values was sorted out above, so these sets are small
             sets = df.agg(*[F.collect_set(F.lower(F.trim(F.col(f"`{p}`")))).alias(str(i)) for i, p in enumerate(likely)]).first()
@@ -112,22 +121,22 @@ def _properties(df, names: list[str], sample: int, cap: int) -> list[LivePropert
     for p in names:
         kind = _declared(df.schema[p].dataType)
         if kind is None:
-            kind = infer([r[p] for r in rows]) if p in texts else "String"
+            kind = forms.get(p, "String")
         out.append(LiveProperty(p, kind, few.get(p, [])))
     return out
 
 
-def introspect(g: GraphCatalog, sample: int = SAMPLE, cap: int = ENUM_CAP) -> LiveSchema:
-    """The schema of a catalog. Reads a sample of each label and counts the values of its text properties."""
+def introspect(g: GraphCatalog, cap: int = ENUM_CAP) -> LiveSchema:
+    """The schema of a catalog. Looks at all values of text properties, one pass a table and one more for those of few values."""
     nodes = []
     for label in g.labels():
         t = g.nodes[label]
-        kind = NodeKind(label, _properties(t.df, t.props, sample, cap))
+        kind = NodeKind(label, _properties(t.df, t.props, cap))
         if t.labels:
             seen = t.df.select(F.explode(F.col(f"`{t.labels}`")).alias("l")).distinct().collect()
             kind.scopes = sorted(r["l"][6:] for r in seen if r["l"].startswith("scope_"))
         nodes.append(kind)
-    rels = [RelKind(e.rel, e.source_label, e.target_label, _properties(e.df, e.properties, sample, cap)) for e in g.edges]
+    rels = [RelKind(e.rel, e.source_label, e.target_label, _properties(e.df, e.properties, cap)) for e in g.edges]
     return LiveSchema(nodes, sorted(rels, key=lambda r: (r.name, r.source, r.target)))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dsl import EntityTypeQuery, TraversalQuery
 from ..sources.catalog import CHUNK, SOURCE
+from ..sources.graph_json import CANONICAL
 from ..sources.ontology import Ontology
+from ..sources.vectors import collection
+from .ingest import GraphStore, json_text
 from .vector import Embedder, Reranker, knn_batch
 
 DEFAULT_LIMIT = 100
@@ -166,17 +168,21 @@ def neighbor_types(g: RetrievalGraph, nids: DataFrame, ontology: Ontology | None
     return types.union(back).distinct()
 
 
-def retrieval_graph(store: Any, embedder: Embedder) -> RetrievalGraph:
-    """The retrieval tables of a stored graph; texts are embedded where they are read."""
-
+def retrieval_graph(store: GraphStore, embedder: Embedder) -> RetrievalGraph:
+    """The retrieval tables of a stored graph, with the vectors that ingest has stored; without a vector store texts are embedded where they are read."""
     nodes, edges = store.nodes(), store.edges()
-    unquote = lambda c: F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
-    prop = lambda name: unquote(F.col("props")[name])
-    ents = nodes.where(~F.col("type").isin(SOURCE, CHUNK)).select("nid", "type", "labels", prop("_canonical").alias("text")).where("text is not null")
+    prop = lambda name: json_text(F.col("props")[name])
+    ents = nodes.where(~F.col("type").isin(SOURCE, CHUNK)).select("nid", "type", "labels", prop(CANONICAL).alias("text")).where("text is not null")
     chunks = nodes.where(F.col("type") == CHUNK).select("nid", F.coalesce(prop("chunk_id"), prop("id")).alias("chunk_id"), prop("text").alias("text")).where("text is not null")
+
+    def with_vectors(df: DataFrame, field: str) -> DataFrame:
+        if store.vectors is None:
+            return df.withColumn("vec", embedder.column(F.col("text")))
+        return df.join(store.vectors.read(collection(field, "", store.prefix_index)).select("nid", "vec"), "nid", "left")
+
     return RetrievalGraph(
-        ents.withColumn("vec", embedder.column(F.col("text"))),
-        chunks.withColumn("vec", embedder.column(F.col("text"))),
+        with_vectors(ents, CANONICAL),
+        with_vectors(chunks, "text"),
         edges.where("rel = 'mentions'").select(F.col("src").alias("chunk"), F.col("dst").alias("entity")),
         edges.where("rel = 'part_of'").select(F.col("src").alias("chunk"), F.col("dst").alias("source")),
         nodes.where(F.col("type") == SOURCE).select("nid", prop("name").alias("name")),

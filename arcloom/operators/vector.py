@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from hashlib import md5
 from typing import Protocol
@@ -220,6 +220,33 @@ def bm25(docs: DataFrame, query: str, k: int, stopwords: Sequence[str] = STOPWOR
     return _best(counted.where(hit).select("nid", score.alias("score")), k)
 
 
+#: Partitions of stored postings, by a hash of the term.
+POSTING_PARTS = 64
+
+
+def posting_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_PARTS)).cast("int")
+
+
+def postings(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(term, nid, tf, part) of docs (nid, text): what a lexical search needs, made once when texts are stored."""
+    each = docs.select("nid", F.explode(tokens(F.col("text"), stopwords)).alias("term"))
+    return each.groupBy("term", "nid").agg(F.count("*").alias("tf")).withColumn("part", posting_part(F.col("term")))
+
+
+def bm25_stored(stored: DataFrame, count: int, query: str, k: int, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """bm25 over stored postings of count texts: only the partitions of the query's terms are read, and of them the terms' rows."""
+    terms = query_terms(query, stopwords)
+    if not terms:
+        return stored.sparkSession.createDataFrame([], stored.select("nid", F.lit(0.0).alias("score")).schema)
+    mine = stored.where(F.col("part").isin([posting_part(F.lit(t)) for t in terms]) & F.col("term").isin(list(terms)))
+    df = {r["term"]: r["df"] for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row a term
+    weight = F.lit(0.0)
+    for t, n in df.items():
+        weight = F.when(F.col("term") == t, F.lit(terms[t] * math.log(1 + (count - n + 0.5) / (n + 0.5)))).otherwise(weight)
+    return _best(mine.groupBy("nid").agg(F.sum(F.col("tf") * weight).alias("score")), k)
+
+
 def bm25_batch(queries: DataFrame, docs: DataFrame, k: int, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, nid, score) for each row of queries (qid, qtext), by a join of postings on the term."""
     post = docs.select("nid", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("term", "nid").agg(F.count("*").alias("tf"))
@@ -245,12 +272,17 @@ def rrf(lists: Sequence[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     return _best(both.groupBy("nid").agg(F.sum("part").alias("score")), k)
 
 
-def hybrid(docs: DataFrame, query: str, vec: Sequence[float], k: int, constant: int = RRF_K) -> DataFrame:
-    """Dense and lexical hits, PREFETCH * k each, fused; without a term in the query dense alone."""
-    dense = knn(docs.select("nid", "vec"), vec, PREFETCH * k)
+def fused(dense: DataFrame, lexical: Callable[[int], DataFrame], query: str, k: int, constant: int = RRF_K) -> DataFrame:
+    """Dense hits and as many lexical ones, fused; without a term in the query dense alone."""
     if not query_terms(query):
         return dense.limit(k)
-    return rrf([dense, bm25(docs.select("nid", "text"), query, PREFETCH * k)], k, constant)
+    return rrf([dense, lexical(PREFETCH * k)], k, constant)
+
+
+def hybrid(docs: DataFrame, query: str, vec: Sequence[float], k: int, constant: int = RRF_K) -> DataFrame:
+    """Dense and lexical hits of docs (nid, text, vec), PREFETCH * k each, fused."""
+    dense = knn(docs.select("nid", "vec"), vec, PREFETCH * k)
+    return fused(dense, lambda n: bm25(docs.select("nid", "text"), query, n), query, k, constant)
 
 
 def maxsim(chunks: DataFrame, embedder: Embedder, query: str, k: int, threshold: float | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ class Binding:
 
 
 class Compiler:
-    def __init__(self, catalog: GraphCatalog, query: Query, settings: Settings, registry: Registry, types: Mapping[tuple[str, str], str], indexes: Mapping[str, TextIndex]):
+    def __init__(self, catalog: GraphCatalog, query: Query, settings: Settings, registry: Registry, types: Mapping[tuple[str, str], str], indexes: Mapping[str | tuple[str, str], TextIndex]):
         self.g, self.q, self.s, self.registry, self.types, self.indexes = catalog, query, settings, registry, types, indexes
         self.bound: dict[str, Binding] = {}
         self.scores: list[str] = []
@@ -491,14 +491,16 @@ class Compiler:
             return
         p = pins[alias]
         labels = sorted(self.bound[alias].labels or ())
-        indexed = [x for x in labels if x in self.indexes]
+        # a tenant's collections are its own
+        own = {x: self.indexes.get((self.q.prefix_index, x) if self.q.prefix_index else x) for x in labels}
+        indexed = [x for x in labels if own[x] is not None]
         if not indexed:
             raise LoweringError(f"no text index for {', '.join(labels)}")
         name, node = f"__score_{alias}", F.col(_q(alias))
         nid_kind = self.df.schema[alias].dataType["nid"].dataType
         frames = []
         for label in indexed:
-            hits = self.indexes[label].retrieve(p, self.s)
+            hits = own[label].retrieve(p, self.s)
             nid = F.col("nid") if len(indexed) == 1 else F.col("nid").cast("string")
             frames.append(hits.select(nid.alias("__hit"), F.lit(label).alias("__hit_label"), F.col("score").alias(name)))
         hits = union_all(frames)

@@ -15,6 +15,7 @@ from .dsl import Filter, Query, Settings
 
 if TYPE_CHECKING:
     from ..operators.vector import Embedder, Reranker
+    from ..sources.vectors import VectorStore
 
 _SEARCH = ("search", "search_reranked", "hybrid_search")
 
@@ -86,18 +87,29 @@ class TextIndex:
     def __init__(self, nodes: DataFrame, nid: str, text: str, embedder: Embedder | None = None, reranker: Reranker | None = None, vectors: str | None = None):
         self.embedder = embedder or vector.HashingEmbedder()
         self.reranker = reranker
+        self.collection: tuple[VectorStore, str] | None = None
         base = nodes.select(F.col(f"`{nid}`").alias("nid"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{vectors}`").alias("vec")] if vectors else []))
         self.docs = base.where("text is not null")
         self.with_vectors = self.docs if vectors else self.docs.withColumn("vec", self.embedder.column(F.col("text")))
 
+    @classmethod
+    def stored(cls, store: VectorStore, name: str, reranker: Reranker | None = None) -> TextIndex:
+        """A collection as an index: its vectors and postings are read, nothing is embedded or tokenised but the query."""
+        out = cls(store.read(name), "nid", "text", store.embedder, reranker, "vec")
+        out.collection = (store, name)
+        return out
+
     def dense(self, query: str, k: int, threshold: float | None = None) -> DataFrame:
         return vector.knn(self.with_vectors, self.embedder.embed([query])[0], k, threshold)
 
     def lexical(self, query: str, k: int) -> DataFrame:
+        if self.collection is not None:
+            store, name = self.collection
+            return store.lexical(name, query, k)
         return vector.bm25(self.docs, query, k)
 
     def hybrid(self, query: str, k: int) -> DataFrame:
-        return vector.hybrid(self.with_vectors, query, self.embedder.embed([query])[0], k)
+        return vector.fused(self.dense(query, vector.PREFETCH * k), lambda n: self.lexical(query, n), query, k)
 
     def retrieve(self, p: TextPredicate, s: Settings) -> DataFrame:
         """(nid, score) of the nodes that a predicate pins."""

@@ -47,13 +47,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_store  # noqa: F401 - registers its queries
+    from . import queries_more, queries_store  # noqa: F401 - register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_store  # noqa: F401
+    from . import queries_more, queries_store  # noqa: F401
 
     return dict(_SQL)
 
@@ -323,15 +323,18 @@ def _explorer(spark: SparkSession, sf_dir: str) -> Explorer:
     return Explorer(engine(spark, sf_dir))
 
 
-@query("explore_overview", """SELECT * FROM (
+_COUNTS = """SELECT * FROM (
  SELECT 'type' AS kind, name, n AS count FROM (SELECT 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer
   UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events
   UNION ALL SELECT 'Page', count(*) FROM pages UNION ALL SELECT 'BenchmarkItem', count(*) FROM benchmark UNION ALL SELECT 'Vec', count(*) FROM embeddings UNION ALL SELECT 'Label', count(*) FROM labels UNION ALL SELECT 'Turn', count(*) FROM conversations))
  UNION ALL SELECT 'relation', name, n FROM (SELECT 'IN_REGION' AS name, count(n_regionkey) AS n FROM nation UNION ALL SELECT 'FROM_NATION', (SELECT count(c_nationkey) FROM customer) + (SELECT count(s_nationkey) FROM supplier)
   UNION ALL SELECT 'PLACED', count(o_custkey) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem
-  UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'BY_USER', count(user_id) FROM events UNION ALL SELECT 'NEXT_TURN', count(*) FROM conversations WHERE turn > 0)""")
+  UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'BY_USER', count(user_id) FROM events UNION ALL SELECT 'NEXT_TURN', count(*) FROM conversations WHERE turn > 0)"""
+
+
+@query("explore_overview", f"WITH c AS ({_COUNTS}) SELECT * FROM c UNION ALL SELECT 'total', kind, CAST(sum(count) AS BIGINT) FROM c GROUP BY kind")
 def explore_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explorer(spark, sf_dir).overview().where("kind <> 'total'")
+    return _explorer(spark, sf_dir).overview()
 
 
 @query("explore_relation_summary", """SELECT 'Nation' AS node_type, CAST(n_nationkey AS VARCHAR) AS node, 'FROM_NATION' AS rel, 'in' AS direction, 'Customer' AS other_type, count(*) AS count FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
@@ -357,15 +360,23 @@ def explore_table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explorer(spark, sf_dir).entities_of_type("Customer", 50, 100)[0].select("id", "name")
 
 
-@query("explore_keyword_search", """SELECT 'Nation' AS type, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE contains(lower(trim(n_name)), 'as')
- UNION ALL SELECT 'Region', CAST(r_regionkey AS VARCHAR) FROM region WHERE contains(lower(trim(r_name)), 'as')""")
+#: Label, table, public id and text columns.
+TEXTS = (
+    ("Region", "region", "r_regionkey", ("r_name",)), ("Nation", "nation", "n_nationkey", ("n_name",)), ("Customer", "customer", "c_custkey", ("c_name", "c_mktsegment")),
+    ("Supplier", "supplier", "s_suppkey", ("s_name",)), ("Part", "part", "p_partkey", ("p_name", "p_brand", "p_type")), ("Order", "orders", "o_orderkey", ("o_orderstatus", "o_orderpriority")),
+    ("Event", "events", "event_id", ("event_type", "props")), ("Page", "pages", "page_id", ("url", "html")), ("BenchmarkItem", "benchmark", "item_id", ("text",)),
+    ("Turn", "conversations", "conv_id * 1000 + turn", ("role", "text")), ("Source", "(SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL)", "name", ("name",)),
+)
+
+
+@query("explore_keyword_search", " UNION ALL ".join(f"SELECT '{x}' AS type, CAST({i} AS VARCHAR) AS id FROM {t} WHERE " + " OR ".join(f"coalesce(contains(lower(trim({c})), 'as'), false)" for c in cs) for x, t, i, cs in TEXTS))
 def explore_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Explorer(Engine(table_graph(spark, sf_dir).part("Nation", "Region"))).keyword("AS").select("type", "id")
+    return _explorer(spark, sf_dir).keyword("AS").select("type", "id")
 
 
-@query("explore_keyword_search_all")
-def explore_keyword_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Explorer(Engine(table_graph(spark, sf_dir))).keyword("AS").select("type", "id")
+@query("explore_keyword_exact", " UNION ALL ".join(f"SELECT '{x}' AS type, CAST({i} AS VARCHAR) AS id FROM {t} WHERE " + " OR ".join(f"coalesce({c} = 'user', false)" for c in cs) for x, t, i, cs in TEXTS))
+def explore_keyword_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _explorer(spark, sf_dir).search("user", mode="keyword", exact=True, limit=None).select("type", "id")
 
 
 @query("explore_edges_among", "SELECT 'IN_REGION' AS rel, CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation")

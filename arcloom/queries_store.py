@@ -175,30 +175,39 @@ def entity_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("entity_type", F.round("score", 6).alias("score"))
 
 
-@query("introspect_types", """SELECT * FROM (VALUES ('Customer', 'c_custkey', 'Int'), ('Customer', 'c_name', 'String'), ('Customer', 'c_nationkey', 'Int'), ('Customer', 'c_acctbal', 'Float'), ('Customer', 'c_mktsegment', 'String'),
- ('Event', 'event_id', 'Int'), ('Event', 'ts', 'Datetime'), ('Event', 'user_id', 'Int'), ('Event', 'event_type', 'String'), ('Event', 'value', 'Float'), ('Event', 'props', 'String')) t(label, property, type)""")
+_KINDS = {"INTEGER": "Int", "BIGINT": "Int", "DOUBLE": "Float", "TIMESTAMP": "Datetime", "VARCHAR": "String", "FLOAT[]": "List"}
+_TABLES = {
+    "Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "Event": "events", "Chunk": "documents", "Page": "pages",
+    "BenchmarkItem": "benchmark", "Vec": "embeddings", "Label": "labels", "Turn": "conversations",
+}
+_TYPE_SQL = (
+    "SELECT label, column_name AS property, CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END AS type FROM (VALUES "
+    + ", ".join(f"('{x}', '{t}')" for x, t in _TABLES.items()) + ") v(label, t) JOIN (SELECT DISTINCT table_name, column_name, data_type FROM duckdb_columns()) c ON c.table_name = v.t"
+    " UNION ALL SELECT * FROM (VALUES ('Turn', 'turn_id', 'Int'), ('Source', 'name', 'String'))"
+)
+
+
+@query("introspect_types", _TYPE_SQL)
 def introspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = introspect.introspect(table_graph(spark, sf_dir).part("Customer", "Event"))
+    s = introspect.introspect(table_graph(spark, sf_dir))
     return spark.createDataFrame([(k.label, p.name, p.type) for k in s.nodes for p in k.properties], "label string, property string, type string")
 
 
-@query("enum_values", """SELECT 'Customer' AS label, 'c_mktsegment' AS property, lower(trim(c_mktsegment)) AS value FROM customer GROUP BY 3
- UNION ALL SELECT 'Event', 'event_type', lower(trim(event_type)) FROM events GROUP BY 3
- UNION ALL SELECT 'Order', 'o_orderstatus', lower(trim(o_orderstatus)) FROM orders GROUP BY 3 UNION ALL SELECT 'Order', 'o_orderpriority', lower(trim(o_orderpriority)) FROM orders GROUP BY 3""")
-def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = introspect.introspect(table_graph(spark, sf_dir).part("Customer", "Event", "Order"))
-    rows = [(k.label, p.name, v) for k in s.nodes for p in k.properties for v in p.values if p.name != "props"]
-    return spark.createDataFrame(rows, "label string, property string, value string")
-
-
-@query("introspect_types_all")
-def introspect_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = introspect.introspect(table_graph(spark, sf_dir))
-    return spark.createDataFrame([(k.label, p.name, p.type) for k in s.nodes for p in k.properties], "label string, property string, type string")
+#: Text properties that are no identifiers by their name.
+_ENUMS = (
+    ("Customer", "c_mktsegment", "customer"), ("Part", "p_brand", "part"), ("Part", "p_type", "part"), ("Order", "o_orderstatus", "orders"), ("Order", "o_orderpriority", "orders"),
+    ("Event", "event_type", "events"), ("Event", "props", "events"), ("Chunk", "lang", "documents"), ("Chunk", "source", "documents"), ("Page", "html", "pages"), ("Turn", "role", "conversations"),
+)
 
 
-@query("enum_values_all")
-def enum_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    "enum_values",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS label, '{p}' AS property, v AS value FROM (SELECT DISTINCT lower(trim({p})) AS v FROM {t} WHERE {p} IS NOT NULL) WHERE v <> '' AND (SELECT count(DISTINCT lower(trim({p}))) FROM {t}) <= {introspect.ENUM_CAP}"
+        for x, p, t in _ENUMS
+    ),
+)
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = introspect.introspect(table_graph(spark, sf_dir))
     rows = [(k.label, p.name, v) for k in s.nodes for p in k.properties for v in p.values]
     return spark.createDataFrame(rows, "label string, property string, value string")

@@ -1,4 +1,8 @@
-"""Vector collections as Parquet tables: upsert by id, search, list and delete."""
+"""Vector collections as Parquet tables: upsert by id, search, list and delete.
+
+A collection holds its texts, their vectors, and postings by term for lexical
+search, all made when a text is stored; a search embeds and tokenises its query only.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from ..operators import vector
 from ..operators.vector import Embedder
 
+#: Files of a posting partition, at most, from one write.
+SPREAD = 8
 SCHEMA = "nid long, label string, text string, vec array<double>"
 
 
@@ -34,22 +40,46 @@ class VectorStore:
         return self._names(self.path)
 
     def _versions(self, name: str) -> list[int]:
-        return sorted(int(v[1:]) for v in self._names(f"{self.path}/{name}") if v.startswith("v") and self._fs.exists(self._path(f"{self.path}/{name}/{v}/_SUCCESS")))
+        return sorted(int(v[1:]) for v in self._names(f"{self.path}/{name}") if v.startswith("v") and self._fs.exists(self._path(f"{self.path}/{name}/{v}/rows/_SUCCESS")))
 
     def read(self, name: str) -> DataFrame:
         v = self._versions(name)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}/v{v[-1]}") if v else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}/v{v[-1]}/rows") if v else self.spark.createDataFrame([], SCHEMA)
+
+    def postings(self, name: str) -> DataFrame:
+        v = self._versions(name)
+        schema = "term string, nid long, tf long, part int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{v[-1]}/postings") if v else self.spark.createDataFrame([], schema)
+
+    def lexical(self, name: str, query: str, k: int) -> DataFrame:
+        """(nid, score) by the stored postings."""
+        return vector.bm25_stored(self.postings(name), self.read(name).where("text is not null").count(), query, k)
 
     def _write(self, name: str, rows: DataFrame) -> None:
         v = self._versions(name)
-        rows.select("nid", "label", "text", "vec").write.mode("overwrite").parquet(f"{self.path}/{name}/v{(v[-1] if v else 0) + 1}")
+        path = f"{self.path}/{name}/v{(v[-1] if v else 0) + 1}"
+        # postings first: a version is in force once its rows are written
+        rows = rows.select("nid", "label", "text", "vec")
+        rows.write.mode("overwrite").parquet(f"{path}/new")
+        done = self.spark.read.schema(SCHEMA).parquet(f"{path}/new")
+        spread = F.pmod(F.xxhash64("nid"), F.lit(SPREAD))  # a common word's postings are in several files
+        found = vector.postings(done.where("text is not null").select("nid", "text"))
+        found.repartition("part", spread).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        self._fs.rename(self._path(f"{path}/new"), self._path(f"{path}/rows"))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """rows (nid, label, text[, vec]) in place of those of the same nid; texts without a vector are embedded."""
+        """rows (nid, label, text[, vec]) in place of those of the same nid; only texts that are new to their nid are embedded."""
+        have = self.read(name)
         if "vec" not in rows.columns:
-            rows = rows.withColumn("vec", self.embedder.column(F.col("text")))
-        new = rows.groupBy("nid").agg(F.max_by(F.struct("label", "text", "vec"), "text").alias("r")).select("nid", "r.*")
-        self._write(name, self.read(name).join(new.select("nid"), "nid", "left_anti").select("nid", "label", "text", "vec").unionByName(new))
+            new = rows.groupBy("nid").agg(F.max_by(F.struct("label", "text"), "text").alias("r")).select("nid", "r.*")
+            known = have.where("vec is not null").select(F.col("nid").alias("__n"), F.col("text").alias("__t"), F.col("vec").alias("__v"))
+            both = new.join(known, (F.col("nid") == F.col("__n")) & (F.col("text") == F.col("__t")), "left")
+            kept = both.where("__v is not null").select("nid", "label", "text", F.col("__v").alias("vec"))
+            fresh = both.where("__v is null").select("nid", "label", "text", self.embedder.column(F.col("text")).alias("vec"))
+            new = kept.unionByName(fresh)
+        else:
+            new = rows.groupBy("nid").agg(F.max_by(F.struct("label", "text", "vec"), "text").alias("r")).select("nid", "r.*")
+        self._write(name, have.join(new.select("nid"), "nid", "left_anti").select("nid", "label", "text", "vec").unionByName(new))
 
     def delete(self, name: str, nids: DataFrame) -> None:
         self._write(name, self.read(name).join(nids.select("nid").distinct(), "nid", "left_anti"))
@@ -63,8 +93,10 @@ class VectorStore:
         """(nid, score) of the k nearest, dense, lexical or hybrid."""
         rows = self.read(name) if label is None else self.read(name).where(F.col("label") == label)
         if mode == "lexical":
-            return vector.bm25(rows.select("nid", "text"), str(query), k)
+            return vector.bm25(rows.select("nid", "text"), str(query), k) if label else self.lexical(name, str(query), k)
         vec = self.embedder.embed([query])[0] if isinstance(query, str) else query
         if mode == "hybrid":
-            return vector.hybrid(rows.select("nid", "text", "vec"), str(query), vec, k)
+            if label:
+                return vector.hybrid(rows.select("nid", "text", "vec"), str(query), vec, k)
+            return vector.fused(vector.knn(rows.select("nid", "vec"), vec, vector.PREFETCH * k), lambda n: self.lexical(name, str(query), n), str(query), k)
         return vector.knn(rows.select("nid", "vec"), vec, k, threshold)
