@@ -3,7 +3,10 @@
 A sketch is the K smallest distinct hashes of a text's shingles of SHINGLE
 words, in order.  The sketch of a union is the K smallest of the sketches'
 union, so sketches of parts, of documents or of sources merge in any order.
-The hash is the first 63 bits of a shingle's MD5, which SQL can give too.
+A word's hash is the first 64 bits of its MD5, found once for each distinct word;
+a shingle's is their sum, each times the power BASE ** place, and its number of
+words times LENGTH, modulo 2 ** 64, through the finaliser of `common.mix`, less
+the last bit. SQL can give all that too.
 
 * distinct shingles: the sketch's length if it is under K, else (K - 1) / u
   with u the K-th hash as a fraction of the range;
@@ -40,12 +43,12 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import LUT, U64, Words, buffers, chunks, keyed, mix, powers, words, written
 
 SHINGLE = 4
 K = 64
@@ -53,17 +56,26 @@ K = 64
 BLOCK = 1 << 15
 AT_ONCE = 2_000_000
 RANGE = float(1 << 63)
+BASE, LENGTH = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 20
+_known: dict[int, int] = {}
 _WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shingle_hashes(text: str, n: int = SHINGLE) -> tuple[list[int], int]:
-    """Hashes of all shingles in order, repeats included, and how many begin in the first half."""
-    w = _WORD.findall(text.translate(_LOWER))
+    """Hashes of all shingles in order, repeats included, and how many begin in the first half: the definition, one by one."""
+    w = [int.from_bytes(md5(x.encode()).digest()[:8], "big") for x in _WORD.findall(text.translate(_LOWER))]
     if not w:
         return [], 0
-    count = max(1, len(w) - n + 1)
-    out = [int.from_bytes(md5(" ".join(w[i : i + n]).encode()).digest()[:8], "big") >> 1 for i in range(count)]
+    count, out = max(1, len(w) - n + 1), []
+    for i in range(count):
+        part = w[i : i + n]
+        x = (sum(h * pow(BASE, j, 1 << 64) for j, h in enumerate(part)) + len(part) * LENGTH) % (1 << 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor % (1 << 64)
+        out.append(x >> 1)
     return out, (count + 1) // 2
 
 
@@ -71,20 +83,57 @@ def bottom(hashes: set[int] | list[int], k: int = K) -> list[int]:
     return sorted(set(hashes))[:k]
 
 
+def word_hashes(data: np.ndarray, off: np.ndarray, w: Words) -> np.ndarray:
+    """MD5 hashes of words, taken once for each that is new to this worker."""
+    distinct, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    low = LUT[data].tobytes()
+    begin = off[w.doc[index]] + w.start[index]
+    for h, a, n in zip(distinct.tolist(), begin.tolist(), (w.end - w.start)[index].tolist()):
+        if h not in _known:
+            _known[h] = int.from_bytes(md5(low[a : a + n]).digest()[:8], "big")
+    return np.array([_known[h] for h in distinct.tolist()], U64)[inverse] if len(distinct) else np.zeros(0, U64)
+
+
+def text_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, whether in the second half) of all shingles of a batch, as `shingle_hashes` gives them."""
+    data, off = buffers(texts)
+    w = words(data, off)
+    h, size = word_hashes(data, off, w), np.diff(w.first)
+    count = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
+    doc = np.repeat(np.arange(len(size)), count)
+    inner = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    at, last = w.first[doc] + inner, w.first[doc] + size[doc]
+    total = np.minimum(size, n)[doc].astype(U64) * U64(LENGTH)
+    for j, p in enumerate(powers(BASE, n)):
+        there = at + j < last
+        total[there] += h[(at + j)[there]] * p
+    return mix(total) >> U64(1), doc, inner >= ((count + 1) // 2)[doc]
+
+
+def lowest(h: np.ndarray, group: np.ndarray, groups: int, k: int) -> pa.ListArray:
+    """The k smallest distinct hashes of each group, in order."""
+    order = np.lexsort((h, group))
+    h, group = h[order], group[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
+    h, group = h[new], group[new]
+    keep = np.arange(len(h)) - np.searchsorted(group, np.arange(groups))[group] < k
+    off = np.concatenate([[0], np.cumsum(np.bincount(group[keep], minlength=groups))]).astype(np.int32)
+    return pa.ListArray.from_arrays(off, pa.array(h[keep].astype(np.int64), pa.int64()))
+
+
 def _sketches(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                one, two = [], []
-                for text in part.column(1).to_pylist():
-                    if text is None:
-                        one.append(None), two.append(None)
-                        continue
-                    h, half = shingle_hashes(text, n)
-                    one.append(bottom(h[:half], k)), two.append(bottom(h[half:], k))
-                kind = pa.list_(pa.int64())
-                yield pa.record_batch([part.column(0), pa.array(one, kind), pa.array(two, kind)], names=["doc_id", "first", "second"])
+            for part in chunks(batch):
+                text, rows = part.column(1), part.num_rows
+                h, doc, second = text_shingles(text, n)
+                halves = lowest(h, doc * 2 + second, rows * 2, k)
+                gone = text.is_null()
+                one, two = (pa.compute.if_else(gone, pa.scalar(None, halves.type), halves.take(pa.array(np.arange(rows) * 2 + i))) for i in (0, 1))
+                yield pa.record_batch([part.column(0), one, two], names=["doc_id", "first", "second"])
 
     return run
 
@@ -135,18 +184,28 @@ def merged(sketches: DataFrame, by: str, column: str = "sketch", k: int = K) ->
     task, however hot the value.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for pdf in batches:
-            for key, sketch in zip(pdf["key"], pdf["sketch"]):
-                if sketch is not None:
-                    key = None if pd.isna(key) else key
-                    best[key] = bottom(set(best.get(key, ())) | set(map(int, sketch)), k)
-        rows = [(key, h) for key, hs in best.items() for h in (hs or [None])]
-        yield pd.DataFrame({"key": pd.Series([r[0] for r in rows], dtype=object), "h": pd.Series([r[1] for r in rows], dtype="Int64")})
+    def reduced(keys: pa.Array, h: np.ndarray) -> pa.RecordBatch:
+        coded = keys.dictionary_encode(null_encoding="encode")
+        low = lowest(h, coded.indices.to_numpy(), len(coded.dictionary), k)
+        owner = np.repeat(np.arange(len(low)), np.asarray(low.value_lengths()))
+        return pa.record_batch([coded.dictionary.take(pa.array(owner)), low.flatten()], names=["key", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, seen = None, None
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(lists.value_lengths(), 0)))
+            part = reduced(keys.take(pa.array(row)), lists.flatten().to_numpy(zero_copy_only=False))
+            if best is not None:
+                part = reduced(pa.concat_arrays([best.column(0), part.column(0)]), np.concatenate([best.column(1).to_numpy(), part.column(1).to_numpy()]))
+                keys = pa.concat_arrays([seen, keys])
+            best, seen = part, keys.unique()
+        if best is not None:
+            yield best
+            yield pa.record_batch([seen, pa.nulls(len(seen), pa.int64())], names=["key", "h"])  # keys without a hash stay
 
     kind = sketches.schema[by].dataType.simpleString()
-    parts = sketches.select(F.col(by).alias("key"), F.col(column).alias("sketch")).mapInPandas(run, f"key {kind}, h long").distinct()
+    parts = sketches.select(F.col(by).alias("key"), F.col(column).alias("sketch")).mapInArrow(run, f"key {kind}, h long").distinct()
     rank = Window.partitionBy("key").orderBy(F.col("h").asc_nulls_last())
     few = parts.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
     return few.groupBy(F.col("key").alias(by)).agg(F.array_sort(F.collect_list("h")).alias(column))
@@ -247,23 +306,31 @@ def document_pairs(docs: DataFrame, n: int = SHINGLE, k: int = K, block: int = B
     Rows of null doc_id or without a shingle are in no pair. Identical rows of a
     doc_id are one; versions of one are no pair, but each has its own with others.
     """
-    one = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, k)
+    docs, back = keyed(docs.select("doc_id", "text"), "doc_id")
+    one = fingerprints(docs, n, k)
     sketches = written(one.where("doc_id is not null and size(sketch) > 0").select("doc_id", "sketch").distinct(), "sketches")
     blocks = max(1, -(-sketches.count() // block))
     dealt = sketches.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.select("doc_id", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    return cells.repartition(blocks * (blocks + 1) // 2, "i", "j").mapInArrow(_cells(k), "a long, b long, resemblance double, a_in_b double, b_in_a double")
+    pairs = cells.repartition(blocks * (blocks + 1) // 2, "i", "j").mapInArrow(_cells(k), "a long, b long, resemblance double, a_in_b double, b_in_a double")
+    return back(pairs, "a", "b")
 
 
 def sql(n: int = SHINGLE, k: int = K) -> str:
+    places = " + ".join(f"coalesce(h[i + {j}]::UHUGEINT * {pow(BASE, j, 1 << 64)}::UHUGEINT % m, 0::UHUGEINT)" for j in range(n))
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, text,
                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w
            FROM documents),
-c AS (SELECT *, CASE WHEN text IS NULL THEN NULL WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - {n - 1}) END AS cnt FROM w),
-s AS (SELECT r, i, (cnt + 1) // 2 AS half, array_to_string(w[i : i + {n - 1}], ' ') AS sh FROM c, LATERAL (SELECT unnest(range(1, cnt + 1)) AS i) WHERE cnt > 0),
-h AS (SELECT DISTINCT r, i > half AS second, CAST(('0x' || substr(md5(sh), 1, 16))::UBIGINT // 2 AS BIGINT) AS h FROM s),
+c AS (SELECT *, CASE WHEN text IS NULL THEN NULL WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - {n - 1}) END AS cnt,
+             list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 16))::UBIGINT) AS h, 18446744073709551616::UHUGEINT AS m FROM w),
+s AS (SELECT r, i > (cnt + 1) // 2 AS second, m,
+             (({places} + least(len(h), {n})::UHUGEINT * {LENGTH}::UHUGEINT) % m)::UBIGINT AS x
+      FROM c, LATERAL (SELECT unnest(range(1, cnt + 1)) AS i) WHERE cnt > 0),
+s1 AS (SELECT r, second, m, (xor(x, x >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % m)::UBIGINT AS x FROM s),
+s2 AS (SELECT r, second, (xor(x, x >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT % m)::UBIGINT AS x FROM s1),
+h AS (SELECT DISTINCT r, second, (xor(x, x >> 31) >> 1)::BIGINT AS h FROM s2),
 p AS (SELECT r, second, (list_sort(list(h)))[1:{k}] AS b FROM h GROUP BY r, second),
 q AS (SELECT c.r, c.doc_id, c.text IS NULL AS gone,
              coalesce((SELECT b FROM p WHERE p.r = c.r AND NOT second), []) AS f,
