@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,27 +122,34 @@ def stitch(c: Codec, text: str, heads: list[np.ndarray], tails: list[np.ndarray]
     return [*cuts, n]
 
 
-def long_rows(docs: DataFrame, huge: int) -> DataFrame:
-    """(rid, doc_id, text, times): the distinct long rows; rid names them."""
-    rid = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text")), 256)
+def long_rows(docs: DataFrame, huge: int, ids: list[str]) -> DataFrame:
+    """(rid, ids, text, times): the distinct long rows; rid names them."""
+    named = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ids]
+    rid = F.sha2(F.concat_ws("/", *named, F.col("text")), 256)
     return (
         docs.where(F.length("text") > huge).groupBy(rid.alias("rid"))
-        .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
+        .agg(*[F.first(f"`{c}`").alias(c) for c in ids], F.first("text").alias("text"), F.count("*").alias("times"))
     )
 
 
-def chunk_rows(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(rid, i, piece) of the long rows, spread by chunk."""
+def row_schema(docs: DataFrame, ids: list[str]) -> str:
+    return "rid string, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ids) + "times long"
+
+
+def chunk_rows(rows: DataFrame, chunk: int, overlap: int, ids: list[str]) -> DataFrame:
+    """(rid, ids, times, i, piece) of the long rows, spread by chunk."""
+    same = ["rid", *ids, "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for r, text in enumerate(batch.column(len(same)).to_pylist()):
                 parts = cut(text, chunk, overlap)
                 for a in range(0, len(parts), 64):
                     some = parts[a : a + 64]
-                    yield pa.record_batch([[rid] * len(some), pa.array([i for i, _ in some], pa.int32()), [t for _, t in some]], names=["rid", "i", "piece"])
+                    row = [batch.column(c).take(pa.array(np.full(len(some), r))) for c in range(len(same))]
+                    yield pa.record_batch([*row, pa.array([i for i, _ in some], pa.int32()), [t for _, t in some]], names=[*same, "i", "piece"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid string, i int, piece string").repartition("rid", "i")
+    return rows.select(*same, "text").mapInArrow(run, f"{row_schema(rows, ids)}, i int, piece string").repartition("rid", "i")
 
 
 def whole(pdf: pd.DataFrame, chunk: int) -> str:
@@ -154,22 +162,23 @@ def _pretokenised(path: str, chunk: int, overlap: int):
         c = codec(path)
         for batch in batches:
             heads, tails = [], []
-            for i, piece in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i, piece in zip(batch.column("i").to_pylist(), batch.column("piece").to_pylist()):
                 h, t = zones(c.boundaries(piece, 0, len(piece)), i, len(piece), chunk, overlap)
                 heads.append(h)
                 tails.append(t)
-            yield pa.record_batch([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["rid", "i", "piece", "heads", "tails"])
+            yield pa.record_batch([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "heads", "tails"])
 
     return run
 
 
-def _pieces(path: str, chunk: int, overlap: int):
+def _pieces(path: str, chunk: int, overlap: int, ids: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         text = whole(pdf, chunk)
         cuts = stitch(codec(path), text, [np.asarray(h) for h in pdf["heads"]], [np.asarray(t) for t in pdf["tails"]], chunk, overlap)
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        return pd.DataFrame({"rid": pdf["rid"].iloc[0], "j": np.arange(len(parts), dtype=np.int32), "piece": parts})
+        same = {c: [pdf[c].iloc[0]] * len(parts) for c in ("rid", *ids, "times")}
+        return pd.DataFrame({**same, "j": np.arange(len(parts), dtype=np.int32), "piece": parts})
 
     return run
 
@@ -198,36 +207,45 @@ def _encoded(path: str):
         for batch in batches:
             last = batch.num_columns - 1
             for part in _slices(batch, last):
-                ids = _list([c.encode(t) for t in part.column(last).to_pylist()])
+                texts = part.column(last)
+                ids = _list([c.encode(t or "") for t in texts.to_pylist()])
+                if texts.null_count:
+                    ids = pa.compute.if_else(texts.is_null(), pa.scalar(None, ids.type), ids)
                 yield pa.record_batch([*part.columns[:last], ids], names=[*part.schema.names[:last], "tokens"])
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, tokens) of every row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    short = docs.where(F.length("text") <= huge).mapInArrow(_encoded(vocabulary), f"doc_id {kind}, tokens array<int>")
-    long_ = long_rows(docs, huge)
-    marked = chunk_rows(long_, chunk, overlap).mapInArrow(
-        _pretokenised(vocabulary, chunk, overlap), "rid string, i int, piece string, heads array<long>, tails array<long>"
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns also, tokens) of every row of docs."""
+    ids = ["doc_id", *also]
+    docs = docs.select(*ids, "text")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids)
+    short = docs.where(F.coalesce(F.length("text") <= huge, F.lit(True))).mapInArrow(_encoded(vocabulary), f"{kinds}, tokens array<int>")
+    row = row_schema(docs, ids)
+    marked = chunk_rows(long_rows(docs, huge, ids), chunk, overlap, ids).mapInArrow(
+        _pretokenised(vocabulary, chunk, overlap), f"{row}, i int, piece string, heads array<long>, tails array<long>"
     )
-    pieces = marked.groupBy("rid").applyInPandas(_pieces(vocabulary, chunk, overlap), "rid string, j int, piece string").repartition("rid", "j")
-    ids = pieces.mapInArrow(_encoded(vocabulary), "rid string, j int, tokens array<int>")
-    joined = ids.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    spread = long_.select("rid", "doc_id", "times").join(joined, "rid").select(
-        "doc_id", "tokens", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")
-    ).drop("copy")
-    none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("array<int>").alias("tokens"))
-    return short.unionByName(spread).unionByName(none)
+    pieces = marked.groupBy("rid").applyInPandas(_pieces(vocabulary, chunk, overlap, ids), f"{row}, j int, piece string").repartition("rid", "j")
+    encoded = pieces.mapInArrow(_encoded(vocabulary), f"{row}, j int, tokens array<int>")
+    in_order = F.array_sort(F.collect_list(F.struct("j", "tokens")))
+    tokens = F.flatten(F.transform(in_order, lambda x: x["tokens"])).alias("tokens")
+    joined = encoded.groupBy("rid").agg(*[F.first(f"`{c}`").alias(c) for c in (*ids, "times")], tokens)
+    return short.unionByName(spread(joined, ids, "tokens"))
+
+
+def spread(rows: DataFrame, ids: list[str], result: str) -> DataFrame:
+    """(ids, result) of distinct long rows, as many times as each was there."""
+    return rows.select(*ids, result, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy_of_row")).drop("copy_of_row")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, column: str = "tokens", to: str = "text") -> DataFrame:
     """encoded with a column of the decoded text in place of the tokens; null tokens are null text.
 
-    Bytes that are no UTF-8, as of a cut sequence of tokens, become U+FFFD.
+    A column that has the name already gives way to it. Bytes that are no UTF-8, as of a cut sequence of tokens, become U+FFFD.
     """
+    if to != column:
+        encoded = encoded.drop(to)
     at = encoded.columns.index(column)
     names = [to if c == column else c for c in encoded.columns]
     schema = ", ".join(f"`{n}` {'string' if n == to else encoded.schema[n].dataType.simpleString()}" for n in names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, HUGE, OVERLAP, VOCABULARY, Codec, _slices, chunk_rows, codec, long_rows, stitch, whole, zones
+from .bpe import CHUNK, HUGE, OVERLAP, VOCABULARY, Codec, _slices, chunk_rows, codec, long_rows, row_schema, spread, stitch, whole, zones
 
 
 def token_offsets(c: Codec, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def _counted(path: str, chunk: int, overlap: int):
         c = codec(path)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for i, piece in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i, piece in zip(batch.column("i").to_pylist(), batch.column("piece").to_pylist()):
                 found, before = token_offsets(c, piece)
                 head, tail = zones(found, i, len(piece), chunk, overlap)
                 where = dict(zip((found + i * chunk).tolist(), before.tolist()))
@@ -53,7 +53,7 @@ def _counted(path: str, chunk: int, overlap: int):
                     out[k].append(zone.tolist())
                     out[k + 1].append([where[x] for x in zone.tolist()])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in out]
-            yield pa.record_batch([*batch.columns, *lists], names=["rid", "i", "piece", "heads", "head_tokens", "tails", "tail_tokens"])
+            yield pa.record_batch([*batch.columns, *lists], names=[*batch.schema.names, "heads", "head_tokens", "tails", "tail_tokens"])
 
     return run
 
@@ -75,7 +75,7 @@ def _spliced(path: str, chunk: int, overlap: int):
                 total += tails[i][b] - heads[i][a]
             else:
                 total += len(c.encode(text[a:b]))
-        return pd.DataFrame({"rid": [pdf["rid"].iloc[0]], "n_tokens": [total]})
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "times": [pdf["times"].iloc[0]], "n_tokens": [total]})
 
     return run
 
@@ -96,13 +96,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, huge: int = HUGE
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     short = docs.where(F.coalesce(F.length("text") <= huge, F.lit(True))).mapInArrow(_short(vocabulary), f"doc_id {kind}, n_tokens long")
-    long_ = long_rows(docs, huge)
-    counted = chunk_rows(long_, chunk, overlap).mapInArrow(
+    row = row_schema(docs, ["doc_id"])
+    counted = chunk_rows(long_rows(docs, huge, ["doc_id"]), chunk, overlap, ["doc_id"]).mapInArrow(
         _counted(vocabulary, chunk, overlap),
-        "rid string, i int, piece string, heads array<long>, head_tokens array<long>, tails array<long>, tail_tokens array<long>",
+        f"{row}, i int, piece string, heads array<long>, head_tokens array<long>, tails array<long>, tail_tokens array<long>",
     )
-    sums = counted.groupBy("rid").applyInPandas(_spliced(vocabulary, chunk, overlap), "rid string, n_tokens long")
-    spread = long_.select("rid", "doc_id", "times").join(sums, "rid").select(
-        "doc_id", "n_tokens", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")
-    ).drop("copy")
-    return short.unionByName(spread)
+    sums = counted.groupBy("rid").applyInPandas(_spliced(vocabulary, chunk, overlap), f"doc_id {kind}, times long, n_tokens long")
+    return short.unionByName(spread(sums, ["doc_id"], "n_tokens"))
