@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arcloom.llm import bpe, queries
+from arcloom.llm import bpe, mixing, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
 
@@ -62,10 +63,36 @@ def test_stages_in_order(spark, folder, tmp_path):
     c = bpe.codec()
     want = sorted((str(x["doc_id"]), None if x["text"] is None else c.encode(x["text"]).tolist()) for x in seen["mixing"])
     assert sorted((str(x["doc_id"]), x["tokens"]) for x in seen["bpe"]) == want
+    order = [(x["doc_id"], x["source"]) for x in mixing.schedule(spark.read.parquet(str(tmp_path / "2"))).collect()]
+    sources = {x["doc_id"]: x["source"] for x in seen["mixing"]}
+    placed = sorted(seen["bpe"], key=lambda x: x["position"])
+    assert [x["position"] for x in placed] == list(range(len(order))) and [(x["doc_id"], sources[x["doc_id"]]) for x in placed] == order
     run = corpus_pipeline.run(spark, path)
+    assert run.columns == ["doc_id", "position", "tokens"]
     assert sorted((str(x["doc_id"]), x["tokens"]) for x in run.collect()) == want
 
 
+def test_stages_of_text_ids(spark, folder, tmp_path):
+    """The first three stages decide the same whatever the ids are."""
+    path, _ = folder
+    text_id = F.when(F.col("doc_id").isNotNull(), F.format_string("d%06d", "doc_id"))
+    plain = spark.read.parquet(f"{path}/documents.parquet")
+    named = plain.withColumn("doc_id", text_id)
+    other = str(tmp_path / "named")
+    spark.read.parquet(f"{path}/labels.parquet").withColumn("doc_id", text_id).write.parquet(f"{other}/labels.parquet")
+    # the labelled sample is drawn by a hash of the id, so both go on from one table
+    kept = corpus_pipeline.toxicity(spark, named, other)
+    assert kept.schema == named.schema and 100 < kept.count() < named.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:3]):
+        plain, named = stage(spark, plain, path), stage(spark, named, other)
+        plain.write.parquet(str(tmp_path / f"p{k}"))
+        named.write.parquet(str(tmp_path / f"n{k}"))
+        plain, named = spark.read.parquet(str(tmp_path / f"p{k}")), spark.read.parquet(str(tmp_path / f"n{k}"))
+        assert sorted(map(str, plain.withColumn("doc_id", text_id).collect())) == sorted(map(str, named.collect()))
+    mixed = corpus_pipeline.mixing(spark, named, other)
+    assert mixed.columns == named.columns and corpus_pipeline.bpe(spark, mixed, other).count() == mixed.count() > 20
+
+
 def test_stages_on_empty_tables(spark, folder, tmp_path):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
