@@ -158,7 +158,7 @@ def test_sources_collapse_parallel_edges(spark):
     doc = {"start": {"label": "P", "alias": "a"}, "traversals": [{"edge": {"label": "R", "alias": "r"}, "target": {"label": "P", "alias": "b"}}], "return": [{"field": "a.k", "alias": "a"}, {"field": "b.k", "alias": "b"}]}
     got = Engine(g, Settings(auto_sources=True)).plan(doc).collect()
     assert [tuple(r) for r in got] == [(1, 2, ["s1", "s2"])]
-    assert Engine(g).plan(doc).count() == 2
+    assert Engine(g).plan(doc).count() == 1 and Engine(g, Settings(auto_sources=False)).plan(doc).count() == 2
     doc["return"].append({"field": "r.eid", "alias": "e"})
     assert Engine(g, Settings(auto_sources=True)).plan(doc).count() == 2
 
@@ -195,3 +195,13 @@ def test_a_new_field_type_plugs_in(spark, engine):
     assert "Near" in registry.names()
     n = e.plan({"start": {"label": "A", "alias": "a"}, "filters": [{"field": "a.v", "op": "eq", "value": 1, "type": "Near"}], "return": [{"field": "a", "aggregate": "count", "alias": "n"}]})
     assert n.first()["n"] == 3
+
+
+def test_variable_length_is_one_join_a_step_on_thin_paths(spark, sf_dir):
+    g = table_graph(spark, sf_dir)
+    hop = {"edge": {"label": "NEXT_TURN", "alias": "r"}, "target": {"label": "Turn", "alias": "b"}, "depth": {"min": 1, "max": 6}}
+    doc = {"start": {"label": "Turn", "alias": "a"}, "traversals": [hop], "return": [{"field": "a.turn_id", "alias": "a"}, {"field": "b.turn_id", "alias": "b"}]}
+    plan = Engine(g).plan(doc)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 7 and "at#" not in plan
+    edges = Engine(g).plan(doc | {"return": [{"field": "r", "alias": "r"}]}).select("r").first()["r"]
+    assert "at" in edges[0].asDict()  # edges that are returned have their properties

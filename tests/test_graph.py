@@ -74,7 +74,7 @@ def test_missing_ends_make_no_edge_and_bad_values_stop(spark, tmp_path):
 def test_stored_graph_is_queried(store):
     e = Engine(store.catalog(), types={("Place", "name"): "Keyword"})
     doc = {"start": {"label": "Place", "alias": "p"}, "traversals": [{"edge": {"label": "IN", "alias": "i", "direction": "in"}, "target": {"label": "Sensor", "alias": "s"}}], "filters": [{"field": "p.name", "op": "eq", "value": "north hall"}], "return": [{"field": "s.id", "alias": "s"}, {"field": "s.volts2", "alias": "v"}, {"field": "i.since", "alias": "since"}, {"field": "s.tags", "alias": "tags"}], "prefix_label": "t1"}
-    assert [tuple(r) for r in e.plan(doc).collect()] == [("s1", 1200.0, 2021, ["Door", "Heat"])]
+    assert [tuple(r) for r in e.plan(doc).collect()] == [("s1", 1200.0, 2021, ["Door", "Heat"], ["site plan"])]
     assert e.plan(doc | {"prefix_label": "t2"}).count() == 0
     lists = {"start": {"label": "Sensor", "alias": "s"}, "filters": [{"field": "s.tags", "op": "contains", "value": "HEA", "type": "List"}], "return": [{"field": "s.id", "alias": "s"}]}
     assert [r[0] for r in e.plan(lists).collect()] == ["s1"]
@@ -105,6 +105,59 @@ def test_documents_of_a_folder_are_parsed_in_tasks(spark, tmp_path):
     assert (got.nodes, got.edges) == (9, 4 + 3 * 6)  # entities are the same in all, sources differ
 
 
+def test_ingest_embeds_what_is_new_and_searches_it(spark, tmp_path, monkeypatch):
+    from arcloom.sources.vectors import VectorStore
+
+    v = VectorStore(spark, str(tmp_path / "vectors"))
+    s = GraphStore(spark, str(tmp_path / "graph"), vectors=v, text_fields={"Place": ["name"]}, prefix_index="t1")
+    s.ingest(parse_graph(SITE))
+    assert v.collections() == ["t1___canonical", "t1__name", "t1__text"]
+    nid = {r["key"]: r["nid"] for r in s.nodes().collect()}
+    assert {r["nid"] for r in v.read("t1__name").collect()} == {nid["hall"], nid["yard"]}
+    assert v.search("t1__text", "quiet yard", 1, mode="lexical").first()["nid"] == nid["c2"]
+    plan = v.lexical("t1__text", "quiet", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part") or "PartitionFilters: [" in plan and "part#" in plan
+    index = TextIndex.stored(v, "t1__text")
+    e = Engine(s.catalog(), indexes={("t1", "Chunk"): index})
+    doc = {"start": {"label": "Chunk", "alias": "c"}, "filters": [{"field": "c.text", "op": "contains", "value": "quiet", "type": "SemanticText"}], "return": [{"field": "c.chunk_id", "alias": "id"}], "prefix_index": "t1"}
+    assert [r["id"] for r in e.plan(doc, grounding=True).collect()] == ["c2"]
+    with pytest.raises(GraphError):
+        e.plan({k: x for k, x in doc.items() if k != "prefix_index"}, grounding=True)
+    embedded = []
+    real = vector.HashingEmbedder.column
+    monkeypatch.setattr(vector.HashingEmbedder, "column", lambda self, c: embedded.append(c) or real(self, c))
+    g = retrieve.retrieval_graph(s, v.embedder)
+    assert not embedded and g.chunks.where("vec is null").count() == 0 and g.entities.where("vec is null").count() == 0
+    s.delete_by_source("site plan")
+    assert v.read("t1__name").count() == 0 and v.read("t1__text").count() == 0
+
+
+def test_knn_batch_against_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(5)] + [(200, [0.0] * 4), (201, [1.0]), (202, None)]
+    v = spark.createDataFrame(rows, "nid long, vec array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", rng.normal(size=4).tolist()) for i in range(7)] + [("same", [2.0, 0.0, 0.0, 0.0])], "qid string, qvec array<double>")
+    pairs = v.where("size(vec) = 4").crossJoin(asked).select("qid", "nid", F.round(scalars.cosine(F.col("vec"), F.col("qvec")), 9).alias("score")).collect()
+    for threshold in (None, 0.3):
+        want = set()
+        for qid in {p["qid"] for p in pairs}:
+            mine = sorted((p for p in pairs if p["qid"] == qid and (threshold is None or p["score"] >= threshold)), key=lambda p: (-p["score"], p["nid"]))[:4]
+            want |= {(qid, p["nid"], p["score"]) for p in mine}
+        assert {(r["qid"], r["nid"], round(r["score"], 9)) for r in vector.knn_batch(asked, v, 4, threshold).collect()} == want
+
+
+def test_lookups_reach_the_scan(spark, sf_dir):
+    from arcloom.sources.tables import table_graph
+
+    x = Explorer(Engine(table_graph(spark, sf_dir)))
+    plan = x.neighbors("7", "Customer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(o_custkey,7)") and plan.count("EqualTo(user_id,7)") and plan.count("EqualTo(c_custkey,7)")
+    assert x.neighbors("07", "Customer").count() == 0 and x.neighbors("seven", "Customer").count() == 0 and x.entity("99999999999999999999").count() == 0
+    assert x.entity(7, "Customer").count() == x.entity("7", "Customer").count() == 1
+
+
 def test_export_round_trip(spark, store, tmp_path):
     ids = store.nodes().where("type in ('Place', 'Sensor')").select("nid")
     doc = store.export(ids)
