@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import GraphError
 from ..functions.scalars import iso_epoch
 from ..plans import dsl
 from ..plans.compile import Engine, union_all
+from ..plans.language import Model, answer, question_to_query
 from ..plans.text import TextPredicate
 from ..sources.catalog import CHUNK, PROVENANCE, SOURCE, EdgeTable, NodeTable
 from ..sources.ontology import Ontology
+from .introspect import introspect
 
 PAGE = 50
 MAX_SOURCES = 200
@@ -52,8 +55,9 @@ def _fits(value: int, kind: T.DataType) -> bool:
 
 
 class Explorer:
-    def __init__(self, engine: Engine, ontology: Ontology | None = None):
+    def __init__(self, engine: Engine, ontology: Ontology | None = None, model: Model | None = None, prefix_label: str | None = None, prefix_index: str | None = None):
         self.engine, self.g, self.ontology = engine, engine.catalog, ontology
+        self.model, self.prefix_label, self.prefix_index = model, prefix_label, prefix_index
 
     # --- pieces --------------------------------------------------------------
 
@@ -95,8 +99,9 @@ class Explorer:
     # --- cards and neighbours ------------------------------------------------
 
     def entity(self, id: str | int, label: str | None = None) -> DataFrame:
-        """The node of an id: id, type, name, props, sources, relations; the first by type if several have it.
+        """The node of an id: id, type, name, confidence, props, sources, relations; the first by type if several have it.
 
+        confidence is the property of that name, if it is a number; it is never computed.
         Relations are counts by type, direction and the other end's type,
         provenance left out.
         """
@@ -113,7 +118,9 @@ class Explorer:
         else:
             sources = self.g.spark.range(1).select(F.array().cast("array<string>").alias("sources"))
         # one row each
-        return node.join(listed, how="cross").join(sources, how="cross").select("id", "type", "name", "props", "sources", "relations")
+        return node.join(listed, how="cross").join(sources, how="cross").select(
+            "id", "type", "name", F.get_json_object("props", "$.confidence").try_cast("double").alias("confidence"), "props", "sources", "relations"
+        )
 
     def relation_summary(self, id: str | int | None = None, label: str | None = None, among: DataFrame | None = None) -> DataFrame:
         """(node_type, node, rel, direction, other_type, count) of one node, of few (type, nid), or of all."""
@@ -284,9 +291,22 @@ class Explorer:
 
     # --- queries -------------------------------------------------------------
 
+    def ask(self, question: str, cap: int | None = PAGE, answered: bool = True) -> dict[str, Any]:
+        """A question through the model: what `run_query` gives, with the query, the sources behind the rows and, if wanted, an answer in a sentence."""
+        if self.model is None:
+            raise GraphError("questions need a model")
+        schema = introspect(self.g)
+        got = question_to_query(question, schema, self.model, self.engine.plan, prefix_label=self.prefix_label, prefix_index=self.prefix_index)
+        out = self.run_query(got.query, cap)
+        rows = out["table"].collect()  # at most cap
+        out |= {"query": got.query, "attempts": got.attempts, "rows": rows, "answer": answer(question, [r.asDict() for r in rows], self.model) if answered else None}
+        return out
+
     def run_query(self, doc: str | Mapping[str, Any] | dsl.Query, cap: int | None = None) -> dict[str, Any]:
         """Runs a document as the explorer shows it: the visible table, the nodes behind it, and a trace."""
         q = doc if isinstance(doc, dsl.Query) else dsl.parse(doc)
+        if self.prefix_label or self.prefix_index:  # the tenant's, whatever the document says
+            q = replace(q, prefix_label=self.prefix_label, prefix_index=self.prefix_index)
         shown = dsl.with_filter_context(q)
         full = dsl.with_hidden_ids(shown) if not q.distinct else shown
         df = self.engine.plan(full)
@@ -302,4 +322,5 @@ class Explorer:
         owner = {}
         for r in shown.returns:
             owner[r.alias or r.field] = r.field.partition(".")[0]
-        return {"table": table, "nodes": nodes, "owners": owner, "trace": [q.describe(), full.describe()]}
+        sources = df.select(F.explode("sources").alias("name")).distinct().orderBy("name") if "sources" in df.columns else None
+        return {"table": table, "nodes": nodes, "owners": owner, "sources": sources, "trace": [q.describe(), full.describe()]}

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import IngestError
 from ..sources.catalog import CHUNK, PROVENANCE, SOURCE, GraphCatalog
 from ..sources.graph_json import CANONICAL, Graph, to_frames
 from ..sources.vectors import VectorStore, collection
@@ -75,7 +76,18 @@ class GraphStore:
             return 0
         return max((int(s.getPath().getName()) for s in self._fs.listStatus(done)), default=0)
 
-    def _commit(self, version: int) -> None:
+    def _begin(self) -> tuple[int, int]:
+        """(version that a write starts from, number that it alone may write to)."""
+        base = v = self.version()
+        self._fs.mkdirs(self._path(f"{self.path}/claimed"))
+        while not self._fs.createNewFile(self._path(f"{self.path}/claimed/{v + 1}")):
+            v += 1
+        return base, v + 1
+
+    def _commit(self, base: int, version: int) -> None:
+        """Puts a version in force, unless another writer has done so since base."""
+        if self.version() != base:
+            raise IngestError(f"the graph was changed by another writer after version {base}; ingest again")
         self._fs.mkdirs(self._path(f"{self.path}/committed"))
         self._fs.createNewFile(self._path(f"{self.path}/committed/{version}"))
 
@@ -93,10 +105,10 @@ class GraphStore:
             self._fs.delete(self._path(f"{self.path}/v{v}"), True)
 
     def _write(self, nodes: DataFrame | None, edges: DataFrame | None) -> int:
-        v = self.version() + 1
+        base, v = self._begin()
         (nodes if nodes is not None else self.nodes()).write.mode("overwrite").parquet(f"{self.path}/v{v}/nodes")
         (edges if edges is not None else self.edges()).write.mode("overwrite").parquet(f"{self.path}/v{v}/edges")
-        self._commit(v)
+        self._commit(base, v)
         return v
 
     # --- upsert --------------------------------------------------------------
@@ -114,7 +126,7 @@ class GraphStore:
             entities, report = resolver.resolve(entities, self)
         before = self.nodes()
         merged = self.merge_nodes(before, entities)
-        v = self.version() + 1
+        base, v = self._begin()
         merged.write.mode("overwrite").parquet(f"{self.path}/v{v}/nodes")
         nodes = self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.path}/v{v}/nodes")
         old_edges = self.edges()
@@ -124,7 +136,7 @@ class GraphStore:
         if self.vectors is not None:
             self.embed(nodes.join(entities.select("type", "key_field", "key").distinct(), ["type", "key_field", "key"], "left_semi"))
         counts = (before.count(), old_edges.count())
-        self._commit(v)
+        self._commit(base, v)
         n, m = nodes.count(), edges.count()
         return IngestSummary(n, m, n - counts[0], m - counts[1], int((time.time() - began) * 1000), report)
 

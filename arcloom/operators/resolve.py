@@ -8,6 +8,7 @@ with the gates that stopped it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -184,9 +185,12 @@ class Resolver:
         review = inside.where("outcome = 'review'").select("idx", F.lit("in_batch").alias("place"), "hit", "score", "reasons").union(
             found.where("outcome = 'review'").select("idx", F.lit("existing"), "hit", "score", "reasons")
         )
+        # as many as a batch has: written beside the graph, not sent to the driver
+        path = f"{store.path}/reviews/{uuid.uuid4().hex}"
+        review.write.parquet(path)
         report = {
             "collapsed_in_batch": inside.where("outcome = 'merge'").count(),
             "merged_with_stored": taken.count(),
-            "reviews": [r.asDict() for r in review.orderBy("idx", "place").collect()],
+            "reviews": entities.sparkSession.read.schema(review.schema).parquet(path),
         }
         return resolved, report

@@ -586,7 +586,7 @@ def soft_merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = GraphStore(spark, _folder(spark, "graph"))
     a = s.ingest(parse_graph({"entities": [person(1, 0), person(2, 5), person(3, 90)]}), r)
     b = s.ingest(parse_graph({"entities": [person(4, 92), person(5, 17)]}), r)
-    got = [("collapsed", a.merges["collapsed_in_batch"]), ("merged", b.merges["merged_with_stored"]), ("nodes", s.nodes().count()), ("reviewed", len(b.merges["reviews"]))]
+    got = [("collapsed", a.merges["collapsed_in_batch"]), ("merged", b.merges["merged_with_stored"]), ("nodes", s.nodes().count()), ("reviewed", b.merges["reviews"].count())]
     return _rows(spark, "what string, n int", got)
 
 

@@ -82,6 +82,17 @@ def test_stored_graph_is_queried(store):
     assert {r["s"]: r["sources"] for r in srcs} == {"s1": ["site plan"], "s2": ["site plan"]}
 
 
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    s = GraphStore(spark, str(tmp_path))
+    s.ingest(parse_graph(SITE))
+    other = GraphStore(spark, str(tmp_path))
+    base, v = other._begin()
+    s.ingest(parse_graph({"entities": [{"id": "new", "type": "T", "primary_key": {"strict": "id"}}]}))
+    with pytest.raises(IngestError):
+        other._commit(base, v)
+    assert s.version() == v + 1 and s.nodes().where("key = 'new'").count() == 1
+
+
 def test_delete_by_source_keeps_what_others_mention(spark, tmp_path):
     s = GraphStore(spark, str(tmp_path))
     s.ingest(parse_graph(SITE))
@@ -225,7 +236,7 @@ def test_soft_merge_in_batch_and_with_the_store(spark, tmp_path):
     assert first.nodes == 2 and first.merges["collapsed_in_batch"] == 1
     second = s.ingest(parse_graph({"entities": [person("9", "Ann Smyth", age=30), person("10", "Ann Smith jr")]}), resolve.Resolver(emb, cfg))
     assert second.new_nodes == 1 and second.merges["merged_with_stored"] == 1
-    assert [(r["place"], r["reasons"]) for r in second.merges["reviews"]] == [("existing", ["below_auto_merge_threshold"])]
+    assert [(r["place"], r["reasons"]) for r in second.merges["reviews"].collect()] == [("existing", ["below_auto_merge_threshold"])]
     ann = s.nodes().where(F.col("key") == a).first()
     assert json.loads(ann["props"]["age"]) == 30 and json.loads(ann["props"]["_canonical"]) == a
     strict = resolve.Resolver(emb, resolve.ResolveConfig())  # local ids differ, and id is a conflict property
@@ -334,6 +345,22 @@ def test_semantic_search_falls_back(store):
     assert x.search("quiet yard").first()["id"] == "c2" and x.search("quiet yard", mode="semantic").first()["score"] > 0
 
 
+def test_ask(store):
+    doc = json.dumps({"start": {"label": "Place", "alias": "p"}, "return": [{"field": "p.name", "alias": "name"}], "sort": [{"field": "name"}]})
+    said = []
+
+    def model(messages):
+        said.append(messages)
+        return "Two places." if len(said) == 3 else "no json" if len(said) == 1 else doc
+
+    x = Explorer(Engine(store.catalog()), model=model, prefix_label="t1")
+    got = x.ask("which places are there?")
+    assert [r["name"] for r in got["rows"]] == ["North Hall", "Yard"] and got["answer"] == "Two places." and got["attempts"] == 2
+    assert got["query"].prefix_label == "t1" and got["nodes"].count() == 2 and [r["name"] for r in got["sources"].collect()] == ["site plan"]
+    with pytest.raises(GraphError):
+        Explorer(Engine(store.catalog())).ask("anything?")
+
+
 def test_run_query_shows_the_visible_table(explorer):
     doc = {"start": {"label": "Place", "alias": "p"}, "traversals": [{"edge": {"label": "IN", "direction": "in"}, "target": {"label": "Sensor", "alias": "s"}}], "filters": [{"field": "s.state", "op": "eq", "value": "up"}], "return": [{"field": "s.id"}]}
     got = explorer.run_query(doc)

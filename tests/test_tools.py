@@ -43,6 +43,31 @@ def test_shell(spark, sf_dir):
     assert "FROM_NATION\tin\tCustomer" in text and "Nation 3" in text and "ASIA" in text and sh.onecmd("quit")
 
 
+def test_shell_asks_filters_shows_and_exports(spark, sf_dir, tmp_path):
+    out = io.StringIO()
+    answers = iter([json.dumps(DOC), "Africa and America."])
+    sh = cli.Shell(Explorer(Engine(table_graph(spark, sf_dir)), model=lambda messages: next(answers)), out)
+    for line in ("show table", "ask which regions?", "show nodes", "show trace", f'export "{tmp_path}/x.json"', "filter type Region", "open Nation 3", "ls", "go", "filter edge FROM_NATION", "filter type clear", "ls", "filter clear", "filter what", "format json", "table Region 3", "format xml"):
+        sh.onecmd(line)
+    text = out.getvalue()
+    for part in ("nothing to show", "Africa and America.", "IN_REGION\tout\tRegion", "types: Region\tedges: all", "FROM_NATION\tin\tCustomer", "unknown filter what", '"columns"', "unknown format xml"):
+        assert part in text
+    assert {n["name"] for n in json.loads((tmp_path / "x.json").read_text())["nodes"]} == {"AFRICA", "AMERICA"}
+
+
+def test_text_filters_from_the_command_line(spark, tmp_path, capsys):
+    g, o, f = tmp_path / "g.json", tmp_path / "o.json", tmp_path / "q.json"
+    g.write_text(json.dumps({"source": "s", "entities": [{"id": "a", "type": "Note", "primary_key": {"strict": "id"}, "body": {"type": "Text", "value": "a quiet yard"}}, {"id": "b", "type": "Note", "primary_key": {"strict": "id"}, "body": {"type": "Text", "value": "a loud hall"}}]}))
+    o.write_text(json.dumps({"notes": {"entity_types": [{"name": "Note", "properties": [{"name": "body", "property_type": "text"}]}]}}))
+    f.write_text(json.dumps({"start": {"label": "Note", "alias": "n"}, "filters": [{"field": "n.body", "op": "search", "value": "quiet yard", "cardinality": "many"}], "return": [{"field": "n.id", "alias": "id"}]}))
+    store = str(tmp_path / "store")
+    assert cli.main(["ingest", str(g), "--store", store, "--ontology", str(o)], spark) == 0
+    assert VectorStore(spark, f"{store}/vectors").collections() == ["_canonical", "body"]
+    capsys.readouterr()
+    assert cli.main(["run", str(f), "--store", store, "--ontology", str(o), "--json"], spark) == 0
+    assert {"id", "score", "sources"} == set(json.loads(capsys.readouterr().out)["columns"])
+
+
 def test_vector_store(spark, tmp_path):
     s = VectorStore(spark, str(tmp_path), vector.HashingEmbedder(64))
     name = collection("T", "text", "t1")
