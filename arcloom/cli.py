@@ -247,9 +247,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         df = engine.plan(dsl.parse_file(a.input))
         print(rows_json(df)) if a.json else df.show(truncate=False)
     elif a.command == "schema":
-        print(language.schema_text(introspect.introspect(engine.catalog)))
+        print(language.schema_text(introspect.introspect(engine.catalog), types))
     elif a.command == "prompt":
-        print(language.system_prompt(introspect.introspect(engine.catalog)), language.query_prompt(a.input), sep="\n\n")
+        print(language.system_prompt(introspect.introspect(engine.catalog), types=types, registry=engine.registry), language.query_prompt(a.input), sep="\n\n")
     else:
         Shell(Explorer(engine, ontology, prefix_label=cfg.prefix_label), store=None if a.tables else store).cmdloop()
     return 0

@@ -296,7 +296,7 @@ class Explorer:
         if self.model is None:
             raise GraphError("questions need a model")
         schema = introspect(self.g)
-        got = question_to_query(question, schema, self.model, self.engine.plan, prefix_label=self.prefix_label, prefix_index=self.prefix_index)
+        got = question_to_query(question, schema, self.model, self.engine.plan, prefix_label=self.prefix_label, prefix_index=self.prefix_index, types=self.engine.types, registry=self.engine.registry)
         out = self.run_query(got.query, cap)
         rows = out["table"].collect()  # at most cap
         out |= {"query": got.query, "attempts": got.attempts, "rows": rows, "answer": answer(question, [r.asDict() for r in rows], self.model) if answered else None}

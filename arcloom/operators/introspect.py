@@ -40,6 +40,7 @@ class RelKind:
     source: str
     target: str
     properties: list[LiveProperty] = field(default_factory=list)
+    domain: str | None = None
 
 
 @dataclass
@@ -160,6 +161,20 @@ def as_ontology(schema: LiveSchema, domain: str = "default") -> Ontology:
     return out
 
 
+def split(schema: LiveSchema) -> dict[str, LiveSchema]:
+    """A schema by domain; kinds without a domain are in none. A relation without one is of the domain that both its ends share."""
+    of = {n.label: n.domain for n in schema.nodes}
+    out: dict[str, LiveSchema] = {}
+    for n in schema.nodes:
+        if n.domain is not None:
+            out.setdefault(n.domain, LiveSchema()).nodes.append(n)
+    for r in schema.relations:
+        domain = r.domain or (of.get(r.source) if of.get(r.source) == of.get(r.target) else None)
+        if domain is not None:
+            out.setdefault(domain, LiveSchema()).relations.append(r)
+    return dict(sorted(out.items()))
+
+
 def project(schema: LiveSchema, domains: list[Domain]) -> LiveSchema:
     """Only what the domains declare; allowed values are joined with those found."""
     entities = {t.name: t for d in domains for t in d.entity_types}
@@ -175,7 +190,7 @@ def project(schema: LiveSchema, domains: list[Domain]) -> LiveSchema:
 
     nodes = [NodeKind(n.label, keep(n.properties, entities[n.label]), n.scopes, n.domain) if n.label in entities else n for n in schema.nodes if n.label in entities or n.label in (SOURCE, CHUNK)]
     names = {n.label for n in nodes}
-    rels = [RelKind(r.name, r.source, r.target, keep(r.properties, relations[r.name])) for r in schema.relations if r.name in relations and r.source in names and r.target in names]
+    rels = [RelKind(r.name, r.source, r.target, keep(r.properties, relations[r.name]), r.domain) for r in schema.relations if r.name in relations and r.source in names and r.target in names]
     return LiveSchema(nodes, rels)
 
 

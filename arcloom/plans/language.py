@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from ..errors import GraphError, QueryError
+from ..functions.types import QUERY_HANDLER, Registry, storage_type
 from ..operators.introspect import LiveSchema
 from . import dsl
 
@@ -29,10 +30,28 @@ RULES = (
 )
 
 
-def schema_text(schema: LiveSchema) -> str:
+#: (label, property) to the storage type that an ontology declares.
+Types = Mapping[tuple[str, str], str]
+
+
+def field_handler(types: Types, label: str, prop: str) -> str | None:
+    """The field type that compares a declared property."""
+    return QUERY_HANDLER[storage_type(types[(label, prop)])] if (label, prop) in types else None
+
+
+def type_hints(schema: LiveSchema, types: Types, registry: Registry | None = None) -> list[str]:
+    """What the field types of a schema can do, one line each."""
+    registry = registry or Registry()
+    used = {field_handler(types, n.label, p.name) for n in schema.nodes for p in n.properties} - {None}
+    return [registry.get(h).prompt_hint() for h in sorted(used)]
+
+
+def schema_text(schema: LiveSchema, types: Types | None = None) -> str:
+    """Nodes and relations; a property that a field type compares is marked by it, as in `name String <Keyword>`."""
+    mark = lambda label, name: f" <{h}>" if (h := field_handler(types or {}, label, name)) else ""
     lines = ["Nodes:"]
     for n in schema.nodes:
-        props = ", ".join(f"{p.name} {p.type}" + (f" [{' | '.join(p.values)}]" if p.values else "") for p in n.properties)
+        props = ", ".join(f"{p.name} {p.type}{mark(n.label, p.name)}" + (f" [{' | '.join(p.values)}]" if p.values else "") for p in n.properties)
         lines.append(f"  {n.label} ({props})")
     lines.append("Relations:")
     lines += [f"  ({r.source})-[{r.name}]->({r.target})" + (f" ({', '.join(p.name + ' ' + p.type for p in r.properties)})" if r.properties else "") for r in schema.relations]
@@ -62,9 +81,11 @@ def paths(schema: LiveSchema, longest: int = 2) -> list[str]:
     return out
 
 
-def system_prompt(schema: LiveSchema, hints: Sequence[str] = ()) -> str:
+def system_prompt(schema: LiveSchema, hints: Sequence[str] = (), types: Types | None = None, registry: Registry | None = None) -> str:
     given = ", ".join(f"{label}: {a}" for label, a in aliases(schema).items())
-    parts = ["You turn questions about a graph into JSON queries.", schema_text(schema), "Paths:\n" + "\n".join("  " + p for p in paths(schema)), "Aliases: " + given]
+    parts = ["You turn questions about a graph into JSON queries.", schema_text(schema, types), "Paths:\n" + "\n".join("  " + p for p in paths(schema)), "Aliases: " + given]
+    if told := type_hints(schema, types or {}, registry):
+        parts.append("Give a filter on a marked property the mark as its `type`. Operators by type:\n" + "\n".join("  " + t for t in told))
     parts.append("Rules:\n" + "\n".join(f"{i}. {r}" for i, r in enumerate([*RULES, *hints], 1)))
     example = {"start": {"label": "Person", "alias": "p"}, "traversals": [], "filters": [{"field": "p.name", "op": "eq_ci", "value": "ann"}], "return": [{"field": "p.name"}], "limit": 10}
     parts.append("Shape: " + json.dumps(example))
@@ -114,9 +135,9 @@ class Translation:
     messages: tuple[Mapping[str, str], ...]
 
 
-def question_to_query(question: str, schema: LiveSchema, model: Model, check: Callable[[dsl.Query], Any] | None = None, max_repairs: int = 1, prefix_label: str | None = None, prefix_index: str | None = None, hints: Sequence[str] = ()) -> Translation:
+def question_to_query(question: str, schema: LiveSchema, model: Model, check: Callable[[dsl.Query], Any] | None = None, max_repairs: int = 1, prefix_label: str | None = None, prefix_index: str | None = None, hints: Sequence[str] = (), types: Types | None = None, registry: Registry | None = None) -> Translation:
     """Asks for a query and, as long as it is not valid, for a better one. The tenant's prefixes are set, whatever the answer says."""
-    messages: list[Mapping[str, str]] = [{"role": "system", "content": system_prompt(schema, hints)}, {"role": "user", "content": query_prompt(question)}]
+    messages: list[Mapping[str, str]] = [{"role": "system", "content": system_prompt(schema, hints, types, registry)}, {"role": "user", "content": query_prompt(question)}]
     for attempt in range(1 + max_repairs):
         answer = model(messages)
         messages.append({"role": "assistant", "content": answer})

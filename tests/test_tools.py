@@ -91,3 +91,23 @@ def test_batch_searches_agree_with_single_ones(spark):
     many = vector.bm25_batch(spark.createDataFrame([(7, "b d")], "qid long, qtext string"), docs, 3).orderBy(F.desc("score"), "nid").collect()
     assert [(r["nid"], round(r["score"], 9)) for r in many] == one
     assert vector.bm25(docs.select("nid", "text"), "  ", 3).count() == 0
+
+
+def test_prompts_mark_field_types_and_schemas_split_by_domain():
+    from arcloom.operators.introspect import LiveProperty, LiveSchema, NodeKind, RelKind, project, split
+    from arcloom.plans import language
+    from arcloom.sources.ontology import Domain
+
+    s = LiveSchema(
+        [NodeKind("Firm", [LiveProperty("name", "String"), LiveProperty("since", "String"), LiveProperty("size", "Int")], domain="trade"), NodeKind("Ship", domain="sea"), NodeKind("Note")],
+        [RelKind("OWNS", "Firm", "Firm"), RelKind("SAILS", "Ship", "Ship", domain="sea"), RelKind("CROSS", "Firm", "Ship"), RelKind("OF", "Note", "Firm")],
+    )
+    types = {("Firm", "name"): "Text", ("Firm", "since"): "Datetime", ("Firm", "size"): "Number"}
+    text = language.system_prompt(s, types=types)
+    assert "name String <SemanticText>" in text and "since String <Timestamp>" in text and "size Int)" in text
+    assert len(language.type_hints(s, types)) == 2 and "hybrid_search" in text and "<" not in language.schema_text(s)
+    got = split(s)
+    assert list(got) == ["sea", "trade"] and [n.label for n in got["trade"].nodes] == ["Firm"]
+    assert [r.name for r in got["trade"].relations] == ["OWNS"] and [r.name for r in got["sea"].relations] == ["SAILS"]
+    only = project(s, [Domain.of({"entity_types": [{"name": "Ship"}], "relation_types": [{"name": "SAILS"}]})])
+    assert only.relations[0].domain == "sea" and split(LiveSchema()) == {}
