@@ -267,14 +267,14 @@ def bm25_batch(queries: DataFrame, docs: DataFrame, k: int, stopwords: Sequence[
 
 def rrf(lists: Sequence[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     """(nid, score): reciprocal rank fusion of short lists (nid, score)."""
-    ranked = []
+    parts = []
     for hits in lists:
-        rank = Window.orderBy(F.desc("score"), "nid")
-        ranked.append(hits.select("nid", (1.0 / (constant + F.row_number().over(rank))).alias("part")))
-    both = ranked[0]
-    for r in ranked[1:]:
+        rank = Window.orderBy(*ranked())
+        parts.append(hits.select("nid", (1.0 / (constant + F.row_number().over(rank))).alias("part")))
+    both = parts[0]
+    for r in parts[1:]:
         both = both.unionByName(r)
-    return _best(both.groupBy("nid").agg(F.sum("part").alias("score")), k)
+    return _best(both.groupBy("nid").agg(F.sum("part").alias("score")), k, 12)
 
 
 def fused(dense: DataFrame, lexical: Callable[[int], DataFrame], query: str, k: int, constant: int = RRF_K) -> DataFrame:

@@ -122,11 +122,11 @@ class TextIndex:
                 if self.reranker is not None:
                     scored = self.reranker.score(hits.join(self.docs, "nid"), p.query)
                     hits = scored.select("nid", F.col("rerank").alias("score"))
-                return hits.orderBy(F.desc("score"), "nid").limit(1)
+                return hits.orderBy(*vector.ranked()).limit(1)
         if p.one or p.rerank:
             reranker = self.reranker or vector.CosineReranker(self.embedder)
             found = self.hybrid(p.query, s.search_k)
             scored = reranker.score(found.join(self.docs, "nid"), p.query).where(F.col("rerank") >= s.reranker_threshold)
             best = scored.select("nid", F.col("rerank").alias("score"))
-            return best.orderBy(F.desc("score"), "nid").limit(1) if p.one else best
+            return best.orderBy(*vector.ranked()).limit(1) if p.one else best
         return self.dense(p.query, s.search_k, s.search_threshold)
