@@ -16,7 +16,6 @@ from hashlib import md5
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ from ..functions.scalars import cosine, norm, sentences
 RRF_K = 60
 PREFETCH = 4
 _SPLIT = r"[^\p{L}\p{N}]+"
+_WORD = re.compile(r"\w+")
 #: Frequent Russian words, which say nothing in a search.
 STOPWORDS = tuple(
     ("а без будет будто бы был была было быть в вам вас вдруг ведь во вот все вы где да даже для до его ее ей ему если есть еще ещё её ж же за и "
@@ -47,40 +47,98 @@ class Reranker(Protocol):
     def score(self, df: DataFrame, query: str) -> DataFrame: ...
 
 
-@lru_cache(maxsize=1 << 18)
-def _place(word: str) -> int:
-    return int.from_bytes(md5(word.encode()).digest()[:4], "big")
+#: Words whose places are kept; after that many new ones they are forgotten.
+PLACES = 1 << 17
+#: Characters of text whose words are placed at once; a longer text makes a slice of its own.
+SLICE = 1 << 18
+
+
+class _Places(dict):
+    """Word to place, plus dim if its sign is positive; made when first asked for, at most PLACES kept."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(md5(word.encode()).digest()[:4], "big")
+        if len(self) >= PLACES:
+            self.clear()
+        self[word] = at = h % self.dim + self.dim * ((h >> 16) & 1)
+        return at
+
+
+@lru_cache(maxsize=16)
+def _places(dim: int) -> _Places:
+    return _Places(dim)
+
+
+def _slices(texts: Sequence[str | None] | pa.Array) -> Iterator[list[str]]:
+    """Texts in their order, SLICE characters at once; null as the empty text."""
+    some, size = [], 0
+    for text in texts:
+        text = (text.as_py() if isinstance(text, pa.Scalar) else text) or ""
+        if some and size + len(text) > SLICE:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text) + 64  # many short texts count by their vectors
+    if some:
+        yield some
 
 
 class HashingEmbedder:
     """Words hashed into signed places of a unit vector: the same text always gives the same vector, on any machine.
 
     A word's hash is the first 32 bits of its MD5; its place is the hash modulo
-    dim, its sign that of bit 16.
+    dim, its sign that of bit 16. In tasks, batches are embedded by slices, so a
+    worker holds its batch and the words of one slice.
     """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
+    def _embed(self, texts: Sequence[str]) -> np.ndarray:
+        places, words, ends = _places(self.dim).__getitem__, [], []
+        for text in texts:
+            words += map(places, _WORD.findall(text.lower()))
+            ends.append(len(words))
+        row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        count = np.bincount(row * (2 * self.dim) + np.array(words, np.int64), minlength=len(texts) * 2 * self.dim).reshape(len(texts), 2, self.dim)
+        return _units((count[:, 1] - count[:, 0]).astype(float))
+
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", (text or "").lower()):
-                h = _place(word)
-                out[i, h % self.dim] += 1.0 if (h >> 16) & 1 else -1.0
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, size, out=out, where=size > 0)
+        return np.concatenate([np.zeros((0, self.dim)), *map(self._embed, _slices(texts))])
 
     def column(self, c: Column) -> Column:
-        embed = self.embed
+        dim, slices = self.dim, lambda texts: map(self._embed, _slices(texts))
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def run(texts: pa.Array) -> pa.Array:
+            flat = np.concatenate([np.zeros(0), *[x.ravel() for x in slices(texts)]])
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series(list(embed(texts.fillna("").tolist())))
+        return run(c)
+
+    def cosine(self, c: Column, query: Sequence[float]) -> Column:
+        """Cosine of the vectors of texts with one vector, without making columns of vectors."""
+        q = _units(np.array([query], float))[0]
+        embed = self._embed
+
+        @F.arrow_udf(T.DoubleType())
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(0), *[embed(x) @ q for x in _slices(texts)]]))
 
         return run(c)
 
 
+def likeness(embedder: Embedder, c: Column, query: Sequence[float]) -> Column:
+    """Cosine of the embedded texts of a column with a vector, by the embedder itself if it can."""
+    if hasattr(embedder, "cosine"):
+        return embedder.cosine(c, query)
+    return cosine(embedder.column(c), literal_vector(query))
+
+
 class CosineReranker:
     """Cosine of the embeddings of query and text, at least 0."""
 
@@ -88,8 +146,7 @@ class CosineReranker:
         self.embedder = embedder
 
     def score(self, df: DataFrame, query: str) -> DataFrame:
-        q = literal_vector(self.embedder.embed([query])[0])
-        return df.withColumn("rerank", F.greatest(F.lit(0.0), cosine(self.embedder.column(F.col("text")), q)))
+        return df.withColumn("rerank", F.greatest(F.lit(0.0), likeness(self.embedder, F.col("text"), self.embedder.embed([query])[0])))
 
 
 def literal_vector(v: Sequence[float]) -> Column:
@@ -107,10 +164,16 @@ def _best(df: DataFrame, k: int, digits: int = 9) -> DataFrame:
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, threshold: float | None = None) -> DataFrame:
     """(nid, score): the k rows of vectors (nid, vec) nearest by cosine, over a threshold if given; ties to the smaller nid."""
-    scored = vectors.where("vec is not null").select("nid", cosine(F.col("vec"), literal_vector(query)).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    return _best(scored, k)
+    return _over(vectors.where("vec is not null").select("nid", cosine(F.col("vec"), literal_vector(query)).alias("score")), k, threshold)
+
+
+def knn_texts(docs: DataFrame, embedder: Embedder, query: Sequence[float], k: int, threshold: float | None = None) -> DataFrame:
+    """knn over texts (nid, text) that have no stored vectors."""
+    return _over(docs.where("text is not null").select("nid", likeness(embedder, F.col("text"), query).alias("score")), k, threshold)
+
+
+def _over(scored: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    return _best(scored if threshold is None else scored.where(F.col("score") >= threshold), k)
 
 
 #: Bytes of query vectors that are sent to every task at once; more queries are asked in parts.
@@ -284,18 +347,17 @@ def fused(dense: DataFrame, lexical: Callable[[int], DataFrame], query: str, k:
     return rrf([dense, lexical(PREFETCH * k)], k, constant)
 
 
-def hybrid(docs: DataFrame, query: str, vec: Sequence[float], k: int, constant: int = RRF_K) -> DataFrame:
-    """Dense and lexical hits of docs (nid, text, vec), PREFETCH * k each, fused."""
-    dense = knn(docs.select("nid", "vec"), vec, PREFETCH * k)
+def hybrid(docs: DataFrame, query: str, vec: Sequence[float], k: int, constant: int = RRF_K, embedder: Embedder | None = None) -> DataFrame:
+    """Dense and lexical hits of docs (nid, text, vec), PREFETCH * k each, fused. With an embedder docs need no vec."""
+    dense = knn(docs.select("nid", "vec"), vec, PREFETCH * k) if embedder is None else knn_texts(docs, embedder, vec, PREFETCH * k)
     return fused(dense, lambda n: bm25(docs.select("nid", "text"), query, n), query, k, constant)
 
 
 def maxsim(chunks: DataFrame, embedder: Embedder, query: str, k: int, threshold: float | None = None) -> DataFrame:
     """(nid, score): the k texts of chunks (nid, text) whose best sentence is nearest."""
     each = chunks.select("nid", F.explode(sentences(F.col("text"))).alias("sentence"))
-    vec = embedder.column(F.col("sentence"))
-    scored = each.select("nid", cosine(vec, literal_vector(embedder.embed([query])[0])).alias("s")).groupBy("nid").agg(F.max("s").alias("score"))
-    return _best(scored if threshold is None else scored.where(F.col("score") >= threshold), k)
+    scored = each.select("nid", likeness(embedder, F.col("sentence"), embedder.embed([query])[0]).alias("s")).groupBy("nid").agg(F.max("s").alias("score"))
+    return _over(scored, k, threshold)
 
 
 def missing_vectors(wanted: DataFrame, index: DataFrame, embedder: Embedder, *key: str) -> DataFrame:

@@ -123,8 +123,7 @@ SELECT qid, nid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PAR
 @query("hybrid_search", f"WITH {_hybrid(_ASKED, _TERMS_ASKED, 10)} SELECT nid, round(score, 6) AS score FROM hyb")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vector.HashingEmbedder()
-    docs = _docs(spark, sf_dir).withColumn("vec", e.column(F.col("text")))
-    return _scored(vector.hybrid(docs, _ASKED, e.embed([_ASKED])[0], 10))
+    return _scored(vector.hybrid(_docs(spark, sf_dir), _ASKED, e.embed([_ASKED])[0], 10, embedder=e))
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str) -> VectorStore:
