@@ -90,6 +90,7 @@ class TextIndex:
         self.collection: tuple[VectorStore, str] | None = None
         base = nodes.select(F.col(f"`{nid}`").alias("nid"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{vectors}`").alias("vec")] if vectors else []))
         self.docs = base.where("text is not null")
+        self.stored_vectors = bool(vectors)
         self.with_vectors = self.docs if vectors else self.docs.withColumn("vec", self.embedder.column(F.col("text")))
 
     @classmethod
@@ -100,7 +101,8 @@ class TextIndex:
         return out
 
     def dense(self, query: str, k: int, threshold: float | None = None) -> DataFrame:
-        return vector.knn(self.with_vectors, self.embedder.embed([query])[0], k, threshold)
+        vec = self.embedder.embed([query])[0]
+        return vector.knn(self.with_vectors, vec, k, threshold) if self.stored_vectors else vector.knn_texts(self.docs, self.embedder, vec, k, threshold)
 
     def lexical(self, query: str, k: int) -> DataFrame:
         if self.collection is not None:
@@ -111,22 +113,33 @@ class TextIndex:
     def hybrid(self, query: str, k: int) -> DataFrame:
         return vector.fused(self.dense(query, vector.PREFETCH * k), lambda n: self.lexical(query, n), query, k)
 
+    def found(self, query: str, k: int) -> DataFrame | None:
+        """The hits of a hybrid search, at most k rows, searched for once however often they are read; None without any."""
+        hits = self.hybrid(query, k)
+        rows = hits.collect()
+        return hits.sparkSession.createDataFrame(rows, hits.schema) if rows else None
+
+    def texts_of(self, hits: DataFrame) -> DataFrame:
+        """Hits, at most k rows, with their texts. They are read here: a reranker's column over a join would be computed for every text of the table."""
+        rows = hits.join(self.docs.select("nid", "text"), "nid")
+        return hits.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
     def retrieve(self, p: TextPredicate, s: Settings) -> DataFrame:
         """(nid, score) of the nodes that a predicate pins."""
         if s.grounding:
-            hits = self.lexical(p.query, s.fetch_k) if p.lexical else self.hybrid(p.query, s.fetch_k)
-            # a lexical miss pins nothing; a hybrid one falls back. At most fetch_k rows are looked at
-            if p.lexical or not hits.isEmpty():
+            # a lexical miss pins nothing; a hybrid one falls back
+            hits = self.lexical(p.query, s.fetch_k) if p.lexical else self.found(p.query, s.fetch_k)
+            if hits is not None:
                 if not p.one:
                     return hits
                 if self.reranker is not None:
-                    scored = self.reranker.score(hits.join(self.docs, "nid"), p.query)
+                    scored = self.reranker.score(self.texts_of(hits), p.query)
                     hits = scored.select("nid", F.col("rerank").alias("score"))
                 return hits.orderBy(*vector.ranked()).limit(1)
         if p.one or p.rerank:
             reranker = self.reranker or vector.CosineReranker(self.embedder)
             found = self.hybrid(p.query, s.search_k)
-            scored = reranker.score(found.join(self.docs, "nid"), p.query).where(F.col("rerank") >= s.reranker_threshold)
+            scored = reranker.score(self.texts_of(found), p.query).where(F.col("rerank") >= s.reranker_threshold)
             best = scored.select("nid", F.col("rerank").alias("score"))
             return best.orderBy(*vector.ranked()).limit(1) if p.one else best
         return self.dense(p.query, s.search_k, s.search_threshold)
