@@ -296,10 +296,21 @@ def posting_part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(POSTING_PARTS)).cast("int")
 
 
-def postings(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
-    """(term, nid, tf, part) of docs (nid, text): what a lexical search needs, made once when texts are stored."""
-    each = docs.select("nid", F.explode(tokens(F.col("text"), stopwords)).alias("term"))
-    return each.groupBy("term", "nid").agg(F.count("*").alias("tf")).withColumn("part", posting_part(F.col("term")))
+def postings(docs: DataFrame, stopwords: Sequence[str] = STOPWORDS, unique: bool = False) -> DataFrame:
+    """(term, nid, tf, part) of docs (nid, text): what a lexical search needs, made once when texts are stored.
+
+    If every nid has one row, words are counted within it and nothing is moved.
+    """
+    if unique:
+        words = F.array_sort(tokens(F.col("text"), stopwords))
+        # places where another word begins, from 0, and the end
+        begins = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)), lambda i: i.isNotNull())
+        runs = docs.select("nid", words.alias("w")).select("nid", "w", begins.alias("b"))
+        counts = F.transform("b", lambda at, i: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("b", i + 1), F.size("w")) - at).cast("long").alias("tf")))
+        each = runs.select("nid", F.inline(counts)).select("term", "nid", "tf")
+    else:
+        each = docs.select("nid", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("term", "nid").agg(F.count("*").alias("tf"))
+    return each.withColumn("part", posting_part(F.col("term")))
 
 
 def bm25_stored(stored: DataFrame, count: int, query: str, k: int, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
