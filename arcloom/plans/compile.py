@@ -36,11 +36,17 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Pairs of rows that meet at one node, from which they are spread over tasks.
+PAIRS = 4_000_000
+
+
 class Binding:
     """What is known of an alias while a plan grows."""
 
     def __init__(self, alias: str, labels: set[str] | None, node: bool = True, many: bool = False):
         self.alias, self.labels, self.node, self.many = alias, labels, node, many
+        #: Many rows may hold one node, so a hop from it multiplies them.
+        self.shared = False
 
 
 class Compiler:
@@ -236,13 +242,18 @@ class Compiler:
                         (here[far_col] if forward else here["nid"]).alias("dst"), *[here[p].alias(p) for p in e.properties],
                     )
                     self.bound[target] = Binding(target, {far_label})
+                    self.bound[target].shared = True
                     self._tables = getattr(self, "_tables", {})
                     self._tables[edge_alias] = {self.g.edges.index(e)}
                     return joined.withColumn(edge_alias, F.when(F.col("__far").isNotNull(), edge)).drop("__far")
                 if e.embedded == ("target" if forward else "source"):
                     # the edge row is the target's row: one join, to it
                     side = e.df.select(F.col(_q(near)).alias("__near"), self.edge_struct(e).alias(edge_alias), self._struct_of(t, e, target, far_col))
-                    joined = self.df.join(side, here["nid"] == F.col("__near"), how).drop("__near")
+                    if source.shared and how == "inner":
+                        joined = self._spread(side, here["nid"], F.col(_q(target))["nid"])
+                    else:
+                        joined = self.df.join(side, here["nid"] == F.col("__near"), how).drop("__near")
+                    source.shared = True
                     self.bound[target] = Binding(target, {far_label})
                     return self._distinct_edges(joined, edge_alias, group, [e], how, [target, edge_alias])
         multi = not (source.labels and len(source.labels) == 1)
@@ -264,6 +275,26 @@ class Compiler:
         joined = self.df.join(side, match, how).drop("__near", "__near_label")
         return self._distinct_edges(joined, edge_alias, group, [e for e, _ in variants], how, [target, edge_alias])
 
+    def _spread(self, side: DataFrame, near: Column, far: Column) -> DataFrame:
+        """The join of the rows held with side on __near where both have many rows of a node.
+
+        All pairs of a node would be made in one task, or those of all nodes where
+        the rows came in one part. Nodes with more than PAIRS pairs have their side
+        split by its id, each part meeting all rows held; tasks are by node and part,
+        and of a fixed number, as their inputs are too small for Spark to tell.
+        """
+        spark = self.g.spark
+        held = self.df.groupBy(near.alias("__hot")).agg(F.count("*").alias("__l"))
+        pairs = held.join(side.groupBy("__near").agg(F.count("*").alias("__r")), F.col("__hot") == F.col("__near")).withColumn("__p", F.col("__l") * F.col("__r"))
+        hot = F.broadcast(pairs.where(F.col("__p") > PAIRS).select("__hot", F.ceil(F.col("__p") / PAIRS).cast("int").alias("__parts")))
+        part, parts = F.col("__part"), F.coalesce("__parts", F.lit(1))
+        left = self.df.withColumn("__key", near).join(hot, F.col("__key") == F.col("__hot"), "left")
+        left = left.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "__parts")
+        right = side.join(hot, F.col("__near") == F.col("__hot"), "left").withColumn("__side", F.pmod(F.xxhash64(far), parts).cast("int")).drop("__hot", "__parts")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+        joined = left.repartition(tasks, "__key", "__part").join(right, (F.col("__key") == F.col("__near")) & (part == F.col("__side")))
+        return joined.drop("__key", "__part", "__near", "__side")
+
     def _struct_of(self, t: NodeTable, e: EdgeTable, alias: str, key: str) -> Column:
         fields = [F.col(_q(key)).alias("nid"), F.lit(t.label).alias("label")]
         return F.struct(*fields, *[F.col(_q(p)).alias(p) for p in t.props if p not in ("nid", "label")]).alias(alias)
