@@ -36,6 +36,24 @@ def scope_label(scope: Column) -> Column:
     return F.concat(F.lit("scope_"), scope)
 
 
+#: Rows from which an id is joined by a broadcast; fewer rows of one id fit any task.
+HOT = 20_000
+
+
+def at_ends(rows: DataFrame, ends: DataFrame, name: str, nid: str) -> DataFrame:
+    """rows with the node of an end in place of its local id; rows without one are left out.
+
+    A join by id would hold all rows of an id in one task. Ids of HOT rows or more,
+    stored or not, are few, at most a HOT-th of the rows: they are joined where
+    their rows are.
+    """
+    hot = rows.groupBy(F.col(name).alias("__id")).count().where(F.col("count") >= HOT).select("__id")
+    there = F.col(name) == F.col("__id")
+    cold = rows.join(F.broadcast(hot), there, "left_anti").join(ends.toDF(name, nid), name).drop(name)
+    known = ends.join(F.broadcast(hot), F.col("local_id") == F.col("__id"), "left_semi")
+    return cold.unionByName(rows.join(F.broadcast(known.toDF("__id", nid)), there).drop("__id", name))
+
+
 @dataclass
 class IngestSummary:
     nodes: int = 0
@@ -181,9 +199,7 @@ class GraphStore:
     def merge_edges(self, old: DataFrame, nodes: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
         """old edges with relations over them: one row per (rel, src, dst); relations without both ends stored are left out."""
         ends = entities.join(nodes.select("nid", "type", "key_field", "key"), ["type", "key_field", "key"]).select("local_id", "nid")
-        found = (
-            relations.join(ends.toDF("from_id", "src"), "from_id").join(ends.toDF("to_id", "dst"), "to_id").select("idx", "rel", "src", "dst", "props")
-        )
+        found = at_ends(at_ends(relations.select("idx", "rel", "from_id", "to_id", "props"), ends, "from_id", "src"), ends, "to_id", "dst")
         entries = found.select("rel", "src", "dst", "idx", F.explode_outer("props").alias("name", "value"))
         last = entries.groupBy("rel", "src", "dst", "name").agg(F.max_by("value", "idx").alias("value"))
         new = last.groupBy("rel", "src", "dst").agg(
